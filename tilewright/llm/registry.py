@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from tilewright.llm import quality_rules, secret_scan, token_counts
+from tilewright.llm import language_id, line_dedup, quality_rules, secret_scan, token_counts, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_language_id": language_id.query,
         "op3_secret_scan": secret_scan.query,
+        "op4_toxicity": toxicity.query,
+        "op5_line_dedup": line_dedup.query,
         "op7_token_counts": token_counts.query,
         "op8_quality_rules": quality_rules.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_secret_scan": secret_scan.SQL, "op8_quality_rules": quality_rules.SQL}
+    return {"op5_line_dedup": line_dedup.SQL, "op3_secret_scan": secret_scan.SQL, "op8_quality_rules": quality_rules.SQL}
