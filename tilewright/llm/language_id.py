@@ -38,14 +38,35 @@ CACHE = 250_000
 words_in = re.compile(r"[^\W\d_]+").findall
 
 
-def features(word: str, lexicon: dict[str, tuple[int, ...]]) -> list[int]:
-    """Rows of the weights; the first rows are those of the lexicons."""
-    w = f"<{word}>"
-    b = [w, *(f"p{word[:k]}" for k in (1, 2, 3)), *(f"s{word[-k:]}" for k in (1, 2, 3, 4))]
-    for k in (2, 3):
-        b += [w[i : i + k] for i in range(len(w) - k + 1)]
-    crc = zlib.crc32
-    return [*lexicon.get(word, ()), *(MAX_LANGS + crc(x.encode("utf-8", "surrogatepass")) % (BUCKETS - MAX_LANGS) for x in b)]
+def features(words: list[str], lexicon: dict[str, tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
+    """(row of the weights, number of the word) of every feature: all 2- and 3-grams of ``<word>``, its affixes as the 4- and
+    5-grams at its ends, the word itself, and the lexicons it is in (the first MAX_LANGS rows)."""
+    c = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    size = np.array([len(w) + 2 for w in words])
+    of = np.repeat(np.arange(len(words)), size)
+    start = np.cumsum(size) - size
+    rows, owner, hashed = [], [], c
+    for k in (2, 3, 4, 5):
+        hashed = hashed[:-1] * np.uint64(0x9E3779B97F4A7C15) + c[k - 1 :]
+        if k < 4:
+            at = np.flatnonzero(of[: len(hashed)] == of[k - 1 :])
+        else:
+            long = size >= k
+            at = np.concatenate([start[long], (start + size - k)[long & (size > k)]])
+        rows.append(hashed[at] * np.uint64(2 * k + 1))
+        owner.append(of[at])
+    rows.append(np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words)))
+    owner.append(np.arange(len(words)))
+    flat = np.concatenate(rows) * np.uint64(0xD6E8FEB86659FD93)
+    known = [(k, i) for i, w in enumerate(words) for k in lexicon.get(w, ())]
+    return (
+        np.concatenate([MAX_LANGS + ((flat >> np.uint64(32)) % np.uint64(BUCKETS - MAX_LANGS)).astype(np.int64), np.array([k for k, _ in known], np.int64)]),
+        np.concatenate([*owner, np.array([i for _, i in known], np.int64)]),
+    )
+
+
+def _sums(weights: np.ndarray, flat: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    return np.stack([np.bincount(of, weights[flat, k], n) for k in range(weights.shape[1])], 1)
 
 
 def packed(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,22 +114,20 @@ class Scorer(dict):
 
     def __init__(self, crf: Crf):
         self.crf, self.a = crf, np.exp(crf.transitions - crf.transitions.max()).astype(np.float32)
-        self.table = np.empty((1024, len(crf.langs)), np.float32)
-        self.n = 0
-
-    def __missing__(self, word: str) -> int:
-        if not any(map(str.isalpha, word)):
-            self[word] = -1
-            return -1
-        if self.n == len(self.table):
-            self.table = np.concatenate([self.table, np.empty_like(self.table)])
-        self.table[self.n] = self.crf.weights[features(word, self.crf.lexicon)].sum(0)
-        self[word] = self.n
-        self.n += 1
-        return self.n - 1
-
-    def ids(self, text: str) -> np.ndarray:
-        words = words_in(text.lower())
+        self.columns = np.asfortranarray(crf.weights)
+        self.table = np.empty((0, len(crf.langs)), np.float32)
+
+    def learn(self, words: set[str]) -> None:
+        """Add the potentials of words that are new, all at once."""
+        new = [w for w in words if w not in self]
+        good = [w for w in new if w.isalpha() or any(map(str.isalpha, w))]
+        if len(good) < len(new):
+            self.update(dict.fromkeys(new, -1))
+        if good:
+            self.update(zip(good, range(len(self.table), len(self.table) + len(good))))
+            self.table = np.concatenate([self.table, _sums(self.columns, *features(good, self.crf.lexicon), len(good)).astype(np.float32)])
+
+    def ids(self, words: list[str]) -> np.ndarray:
         ids = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
         return ids[ids >= 0] if len(ids) and ids.min() < 0 else ids
 
@@ -131,7 +150,9 @@ class Scorer(dict):
 
     def word_marginals(self, text: str) -> list[tuple[str, np.ndarray]]:
         """The words of one text with their marginals."""
-        words = [w for w in words_in(text.lower()) if self[w] >= 0]
+        words = words_in(text.lower())
+        self.learn(set(words))
+        words = [w for w in words if self[w] >= 0]
         if not words:
             return []
         s = self.table[[self[w] for w in words]]
@@ -143,8 +164,13 @@ class Scorer(dict):
         if not self.crf.langs:
             return out
         for block in self._blocks(texts):
-            if block:
-                for i, m in zip([i for i, _ in block], self.means([x for _, x in block])):
+            if len(self) > CACHE:
+                self.clear()
+                self.table = self.table[:0]
+            self.learn(set().union(*(w for _, w in block)))
+            found = [(i, x) for i, w in block if len(x := self.ids(w))]
+            if found:
+                for (i, _), m in zip(found, self.means([x for _, x in found])):
                     k = int(m.argmax())
                     out[i] = (self.crf.langs[k], float(m[k]))
         return out
@@ -152,15 +178,12 @@ class Scorer(dict):
     def _blocks(self, texts: list[str]):
         block, n = [], 0
         for i in sorted(range(len(texts)), key=lambda i: -len(texts[i])):  # texts of one length share the steps
-            if n >= BLOCK:
+            words = words_in(texts[i].lower())
+            if n and n + len(words) > BLOCK:
                 yield block
                 block, n = [], 0
-                if self.n > CACHE:
-                    self.clear()
-                    self.n = 0
-            if len(x := self.ids(texts[i])):
-                block.append((i, x))
-                n += len(x)
+            block.append((i, words))
+            n += len(words)
         yield block
 
 
@@ -199,13 +222,11 @@ def train(rows: list[tuple[str, list[str]]], rounds: int = 50, rate: float = 0.3
     inner = np.setdiff1d(np.arange(1, len(gold)), first)
     np.add.at(seen, (gold[inner - 1], gold[inner]), 1)
     ids, gold = ids[perm], gold[perm]
-    feats = [features(w, lexicon) for w in vocab]
-    size = np.array([len(f) for f in feats])
-    flat, at, of = np.concatenate([np.array(f) for f in feats]), np.cumsum(size) - size, np.repeat(np.arange(len(feats)), size)
+    flat, of = features(list(vocab), lexicon)
     w, a = np.zeros((BUCKETS, len(langs))), np.zeros((len(langs), len(langs)))
     hw, ha, n = np.full_like(w, 1e-8), np.full_like(a, 1e-8), len(gold)
     for _ in range(rounds):
-        s = np.add.reduceat(w[flat], at)[ids]
+        s = _sums(w, flat, of, len(vocab))[ids]
         ea = np.exp(a - a.max())
         gamma, xi, _ = forward_backward(np.exp(np.maximum(s - s.max(1, keepdims=True), -60.0)), sizes, ea, pairs=True)
         gamma[np.arange(n), gold] -= 1
