@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tilewright.llm import language_id, line_dedup, quality_rules, secret_scan, token_counts, toxicity
+from tilewright.llm import language_id, line_dedup, minhash_dedup, quality_rules, secret_scan, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -11,10 +11,11 @@ def queries() -> dict:
         "op3_secret_scan": secret_scan.query,
         "op4_toxicity": toxicity.query,
         "op5_line_dedup": line_dedup.query,
+        "op6_minhash_dedup": minhash_dedup.query,
         "op7_token_counts": token_counts.query,
         "op8_quality_rules": quality_rules.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": line_dedup.SQL, "op3_secret_scan": secret_scan.SQL, "op8_quality_rules": quality_rules.SQL}
+    return {"op6_minhash_dedup": minhash_dedup.SQL, "op5_line_dedup": line_dedup.SQL, "op3_secret_scan": secret_scan.SQL, "op8_quality_rules": quality_rules.SQL}
