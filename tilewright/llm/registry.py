@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tilewright.llm import kneser_ney, language_id, line_dedup, minhash_dedup, quality_rules, secret_scan, token_counts, toxicity
+from tilewright.llm import decontamination, kneser_ney, language_id, line_dedup, minhash_dedup, quality_rules, secret_scan, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op6_minhash_dedup": minhash_dedup.query,
         "op7_token_counts": token_counts.query,
         "op8_quality_rules": quality_rules.query,
+        "op9_decontamination": decontamination.query,
         "op10_kneser_ney": kneser_ney.query,
     }
 
