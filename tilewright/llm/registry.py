@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tilewright.llm import decontamination, kneser_ney, language_id, line_dedup, minhash_dedup, quality_rules, secret_scan, token_counts, toxicity
+from tilewright.llm import decontamination, kneser_ney, language_id, line_dedup, minhash_dedup, quality_rules, secret_scan, sentencepiece_codec, token_counts, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_language_id": language_id.query,
+        "op2_sentencepiece": sentencepiece_codec.query,
         "op3_secret_scan": secret_scan.query,
         "op4_toxicity": toxicity.query,
         "op5_line_dedup": line_dedup.query,
