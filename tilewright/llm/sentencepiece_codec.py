@@ -18,6 +18,7 @@ a null key is a key like any other; an empty table gives an empty table.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 
 import numpy as np
@@ -31,13 +32,14 @@ from tilewright.llm.token_counts import model_path
 
 ALPHA = 1.0
 BLOCK = 1_500_000
+CACHE = 250_000  # units whose lattices a worker keeps
 FILTER_BITS = 22
 
 _G, _H = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class _Numbers(dict):
-    """unit -> its number in a block."""
+    """unit -> its number, in the order seen."""
 
     def __missing__(self, unit: str) -> int:
         n = self[unit] = len(self)
@@ -132,15 +134,15 @@ class Lattice:
         node = start + of[start]
         stop = node + length
         step = start - first[of[start]] + length  # of the end within its unit
-        order = np.lexsort((stop, step))
+        order = np.argsort(step * (len(c) + len(units) + 1) + stop)  # by step, then end; the pieces of one end stay apart by start
         node, stop, step, start, ids = node[order], stop[order], step[order], start[order], ids[order]
         # characters spelled in bytes
         spelled = np.flatnonzero(ids < 0)
         raw = [chr(x).encode("utf-8", "surrogatepass") for x in c[start[spelled]].tolist()]
         many = np.ones(len(ids), np.int64)
         many[spelled] = [len(b) for b in raw]
-        self.id_first = np.cumsum(many) - many
-        self.id_many = many
+        self.id_first = (np.cumsum(many) - many).astype(np.int32)
+        self.id_many = many.astype(np.int8)
         self.ids = np.repeat(ids, many)
         if raw:
             at = np.repeat(self.id_first[spelled] - np.cumsum(many[spelled]) + many[spelled], many[spelled]) + np.arange(many[spelled].sum())
@@ -159,13 +161,13 @@ class Lattice:
             total = np.add.reduceat(part, head)
             alpha[ends[head]] = top + np.log(total)
             share[a:b] = part / np.repeat(total, n)
-        self.start = node
+        self.start = node.astype(np.int32)
         head = np.flatnonzero(np.concatenate([[True], stop[1:] != stop[:-1]])) if len(stop) else np.empty(0, np.int64)
-        self.arc_first = np.zeros(len(alpha), np.int64)
+        self.arc_first = np.zeros(len(alpha), np.int32)
         self.arc_first[stop[head]] = head
         n = np.diff([*head, len(stop)])
         self.up_to = share  # summed within each node, so that the sums don't depend on what else is in the block
-        for k in range(1, max(n, default=1)):
+        for k in range(1, n.max() if len(n) else 1):
             at = head[n > k] + k
             self.up_to[at] += self.up_to[at - 1]
         if len(head):
@@ -196,29 +198,60 @@ class Lattice:
 
 
 class Codec:
+    """Keeps the lattices of the first CACHE units that it sees; later ones are built anew for each block."""
+
     def __init__(self, path: str, alpha: float = ALPHA):
         self.pieces = Pieces(path, alpha)
+        self.numbers, self.kept = _Numbers(), []
+
+    def _lattices(self):
+        """(first number, lattice) of all units that have a number now; forgets the numbers over CACHE."""
+        known = sum(n for n, _ in self.kept)
+        if len(self.numbers) > known:
+            new = list(itertools.islice(self.numbers, known, None))
+            added = (len(new), Lattice(self.pieces, new))
+        else:
+            added = None
+        first = 0
+        for n, lattice in [*self.kept, added] if added else self.kept:
+            yield first, first + n, lattice
+            first += n
+        if added:
+            if first <= CACHE:
+                self.kept.append(added)
+            else:
+                for unit in new:
+                    del self.numbers[unit]
 
     def encode(self, texts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sampled piece ids of the texts, one after another, and how many each text has. ``keys``: uint64, one a row."""
-        numbers, per_text, found = _Numbers(), [], []
+        per_text, found = [], []
         for t in texts:
             units = self.pieces.units(" " + t) if t else []
-            found.append(np.fromiter(map(numbers.__getitem__, units), np.int64, len(units)))
+            found.append(np.fromiter(map(self.numbers.__getitem__, units), np.int32, len(units)))
             per_text.append(len(units))
-        unit = np.concatenate(found) if found else np.empty(0, np.int64)
+        unit = np.concatenate(found) if found else np.empty(0, np.int32)
         per_text = np.array(per_text, np.int64)
         if not len(unit):
             return np.empty(0, np.int32), np.zeros(len(texts), np.int64)
         place = np.arange(len(unit)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
         key = mix(np.repeat(mix(keys + _H), per_text) + place.astype(np.uint64) * _H)
-        lattice = Lattice(self.pieces, list(numbers))
-        arcs, count = lattice.sample(unit, key)
-        many = lattice.id_many[arcs]
-        at = np.repeat(lattice.id_first[arcs] - np.cumsum(many) + many, many) + np.arange(many.sum())
-        ends = np.concatenate([[0], np.cumsum(many)])[np.concatenate([[0], np.cumsum(count)])]
-        ends = ends[np.concatenate([[0], np.cumsum(per_text)])]
-        return lattice.ids[at], np.diff(ends)
+        size, parts = np.zeros(len(unit), np.int64), []
+        for a, b, lattice in self._lattices():
+            own = np.flatnonzero((unit >= a) & (unit < b))
+            if len(own):
+                arcs, count = lattice.sample(unit[own] - a, key[own])
+                many = lattice.id_many[arcs].astype(np.int64)
+                at = np.repeat(lattice.id_first[arcs] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                ends = np.concatenate([[0], np.cumsum(many)])[np.concatenate([[0], np.cumsum(count)])]
+                size[own] = np.diff(ends)
+                parts.append((own, ends, lattice.ids[at]))
+        start = np.cumsum(size) - size
+        out = np.empty(size.sum(), np.int32)
+        for own, ends, ids in parts:
+            out[np.repeat(start[own] - ends[:-1], size[own]) + np.arange(len(ids))] = ids
+        ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(per_text)])]
+        return out, np.diff(ends)
 
     def decode(self, ids) -> str:
         """The text of piece ids, as encoded: without the space put before it."""
