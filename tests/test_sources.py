@@ -51,7 +51,7 @@ def test_lines_and_tables(spark, tmp_path):
     (tmp_path / "labels").mkdir()
     (tmp_path / "labels" / "t1.txt").write_text("3 0.5 0.5 0.1 0.2\n\n1 0.1 0.2 0.3 0.4\n")
     (tmp_path / "labels" / "t2.txt").write_text("")
-    rows = {r.tile: r.boxes for r in readers.yolo_labels(spark, str(tmp_path / "labels")).collect()}
+    rows = {r.tile: r.boxes for r in readers.yolo_labels(spark, str(tmp_path / "labels"), spark.createDataFrame([("t1",), ("t2",)], "tile string")).collect()}
     assert [b.class_id for b in rows["t1"]] == [3, 1] and rows["t2"] == []
     (tmp_path / "m.csv").write_text(" epoch, metrics/mAP50(B)\n1, 0.5\n2, n/a\n")
     got = readers.epoch_metrics(spark, str(tmp_path / "m.csv")).collect()

@@ -62,18 +62,22 @@ def json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def yolo_labels(spark: SparkSession, root: str) -> DataFrame:
-    """One row a file: tile, boxes array<struct<class_id, cx, cy, w, h>>. Blank lines do not count; an empty file is a negative."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(root)  # the text source skips empty files
-    lines = F.filter(F.split(F.decode("content", "UTF-8"), "\n"), lambda s: F.trim(s) != "")
-    number = lambda parts, i: F.get(parts, i).try_cast("double")
+def yolo_labels(spark: SparkSession, root: str, tiles: DataFrame | None = None) -> DataFrame:
+    """One row a file: tile, boxes array<struct<class_id, cx, cy, w, h>>. Blank lines do not count. File sources skip empty files,
+    so negatives come from ``tiles`` (tile), the tiles that have a label file: those without rows get no boxes."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(root, wholetext=True)
+    lines = F.filter(F.split("value", "\n"), lambda s: F.trim(s) != "")
 
     def box(s):
         p = F.split(F.trim(s), r"\s+")
-        return F.struct(F.get(p, 0).try_cast("int").alias("class_id"), *(number(p, i).alias(n) for i, n in enumerate(("cx", "cy", "w", "h"), 1)))
-
-    tile = F.regexp_extract(F.col("path"), r"([^/]+)\.txt$", 1)
-    return files.select(tile.alias("tile"), F.transform(lines, box).alias("boxes"))
+        return F.struct(F.get(p, 0).try_cast("int").alias("class_id"), *(F.get(p, i).try_cast("double").alias(n) for i, n in enumerate(("cx", "cy", "w", "h"), 1)))
+
+    tile = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.txt$", 1)
+    rows = files.select(tile.alias("tile"), F.transform(lines, box).alias("boxes"))
+    if tiles is None:
+        return rows
+    empty = F.expr("CAST(array() AS array<struct<class_id:int,cx:double,cy:double,w:double,h:double>>)")
+    return tiles.select("tile").join(rows, "tile", "left").select("tile", F.coalesce("boxes", empty).alias("boxes"))
 
 
 def epoch_metrics(spark: SparkSession, path: str) -> DataFrame:
