@@ -113,7 +113,7 @@ class Scorer(dict):
     """word -> row of ``table`` with its potentials, or -1 for a word without a letter."""
 
     def __init__(self, crf: Crf):
-        self.crf, self.a = crf, np.exp(crf.transitions - crf.transitions.max()).astype(np.float32)
+        self.crf, self.a = crf, np.exp(crf.transitions - crf.transitions.max(initial=0.0)).astype(np.float32)
         self.columns = np.asfortranarray(crf.weights)
         self.table = np.empty((0, len(crf.langs)), np.float32)
 

@@ -29,8 +29,8 @@ SAMPLE = 3_000
 BUCKETS = 1 << 21
 DIM = 8
 NGRAMS = (3, 4, 5)
-EPOCHS = 14
-MIN_USES = 30  # buckets used less often in the sample, over its documents, keep a zero embedding
+EPOCHS, STEPS = 14, 150  # passes over the sample; more of them if that is under so many steps
+MIN_USES = 30  # buckets used less often in the sample, over its documents, keep a zero embedding; fewer uses do in small samples
 DECAY = 5e-4  # of the embeddings, a step
 CACHE = 400_000
 THRESHOLD = 0.3
@@ -87,7 +87,8 @@ def train(texts: list[str], labels: list[int], share: float, seed: int = 11, rat
     flat = np.fromiter((b for p in parts for b in p), np.int32, whole.sum())
     del parts
     uses = np.bincount(np.concatenate([i for i, _ in docs]), minlength=len(vocab))
-    common = np.flatnonzero(np.bincount(flat, np.repeat(uses, whole), BUCKETS) >= MIN_USES)  # only these have embeddings
+    least = min(MIN_USES, max(5, len(y) // 25))
+    common = np.flatnonzero(np.bincount(flat, np.repeat(uses, whole), BUCKETS) >= least)  # only these have embeddings
     row = np.full(BUCKETS, -1, np.int32)
     row[common] = np.arange(len(common))
     flat, of_word = row[flat], np.repeat(np.arange(len(whole)), whole)
@@ -99,9 +100,11 @@ def train(texts: list[str], labels: list[int], share: float, seed: int = 11, rat
     w = rng.uniform(-0.5, 0.5, (2, DIM)).astype(np.float32)
     b = np.array([0.0, math.log(share / (1 - share))])
     he, hw, hb = np.full(len(common), 1e-10, np.float32), np.full_like(w, 1e-8), np.full(2, 1e-8)
-    for epoch in range(EPOCHS):
-        step = rate * (1 - epoch / EPOCHS)
-        for batch in np.array_split(rng.permutation(len(y)), max(1, len(y) // 128)):
+    parts = max(1, len(y) // 128)
+    epochs = max(EPOCHS, math.ceil(STEPS / parts))
+    for epoch in range(epochs):
+        step = rate * (1 - epoch / epochs)
+        for batch in np.array_split(rng.permutation(len(y)), parts):
             ids = np.concatenate([docs[i][0] for i in batch])
             if not len(ids):
                 continue
