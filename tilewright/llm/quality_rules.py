@@ -1,6 +1,6 @@
 """Line-first quality rules: drop lines that break a rule, then reject documents that lost too much text.
 
-Each line is judged on its own by its words (``[^\\x20\\x09-\\x0D]+``): no closing punctuation, navigation separators,
+Each line is judged on its own by its words (``[^\\x20\\x09-\\x0D]+``): no word that closes a sentence, navigation separators,
 shouting, symbols, boilerplate phrases, or one word over and over. Failing lines go; a document is rejected if it fails
 the base rule (under 50 words, or over half of its words in 3-word windows that recur) or if the failing lines held over
 half of its word characters. One pass, no shuffle; memory is one document's words.
@@ -44,7 +44,7 @@ def words_of(text: str) -> list[str]:
 def line_fault(line: str, words: list[str]) -> str | None:
     """The first rule that a line with words breaks."""
     n = len(words)
-    if words[-1][-1] not in CLOSING:
+    if not any(w[-1] in CLOSING for w in words):
         return "punctuation"
     if (k := sum(w in SEPARATORS for w in words)) >= 2 and 5 * k >= n:
         return "navigation"
@@ -133,7 +133,7 @@ ln AS (SELECT rid, unnest(string_split(text, chr(10))) AS line, generate_subscri
 lw AS (SELECT rid, pos, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM ln),
 lf AS (
   SELECT rid, pos, line, w, len(w) AS n, list_sum(list_transform(w, lambda x: length(x))) AS chars,
-    NOT contains({_Q}, right(w[len(w)], 1))
+    len(list_filter(w, lambda x: contains({_Q}, right(x, 1)))) = 0
     OR (len(list_filter(w, lambda x: x IN ({", ".join(f"'{s}'" for s in SEPARATORS)}))) >= 2
         AND 5 * len(list_filter(w, lambda x: x IN ({", ".join(f"'{s}'" for s in SEPARATORS)}))) >= len(w))
     OR 2 * len(list_filter(w, lambda x: ends_with(x, '!!'))) > len(w)
