@@ -105,3 +105,54 @@ def test_placement_and_compositing():
     changed = out != host
     assert changed[100:110, 50:60].all() and changed.sum() == 100
     assert (R.composite(host, np.zeros((5, 5)), 0, 0, 0.0) == host).all()
+
+
+def disc(h, w, cy, cx, r):
+    yy, xx = np.mgrid[:h, :w]
+    return (yy - cy) ** 2 + (xx - cx) ** 2 <= r * r
+
+
+def test_extract_finds_the_dip():
+    rng = np.random.default_rng(0)
+    mask = disc(120, 160, 60, 80, 10)
+    clean = 30000 + rng.normal(0, 50, (120, 160))
+    hurt = np.where(disc(120, 160, 60, 80, 8), clean * 0.8, clean)
+    got = R.extract(hurt, mask, 0.0, sign=-1)
+    assert got["residual"].min() < -0.15 and (got["residual"] <= 0).all() and not got["residual"][~mask].any()
+    assert R.extract(hurt, mask, 0.0, sign=1)["residual"].max() < 0.02
+    deep = R.extract(hurt, mask, 0.0, sign=-1, blur=3.0, most=1.5)["residual"].min()
+    assert deep <= R.extract(hurt, mask, 0.0, sign=-1, blur=3.0)["residual"].min()
+
+
+def test_null_implant_changes_the_mask_only():
+    mask = disc(90, 90, 45, 45, 12)
+    host = np.where(disc(90, 90, 45, 45, 9), 20000, 30000).astype(np.uint16)
+    out = R.null_implant(host, mask, 0.0, 3)
+    assert (out[~mask] == host[~mask]).all() and abs(out[mask].mean() - 30000) < 200
+
+
+def test_fill_is_smooth():
+    yy, xx = np.mgrid[:40, :40]
+    plane = 2.0 * xx + 3.0 * yy
+    assert np.abs(R.fill_smooth(np.where(disc(40, 40, 20, 20, 8), 0, plane), disc(40, 40, 20, 20, 8)) - plane).max() < 1.0
+
+
+def test_augmentation_bounds_and_warp():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        assert abs(R.augmentation(rng.random(6), True)["degrees"]) <= 10
+    img = np.zeros((20, 30))
+    img[5:15, 10:20] = 1
+    p = {"sx": 1.0, "sy": 1.0, "degrees": 90.0, "amplitude": 2.0, "flip_x": False, "flip_y": False}
+    out, pts = R.warp(img, np.array([[10, 5], [20, 15]], float), p)
+    assert out.shape == (30, 20) and abs(out.sum() - 200) < 1e-6 and out.max() <= 2 + 1e-9
+    assert (pts.min(0) >= 0).all() and (pts.max(0) <= [19, 29]).all()
+
+
+def test_place_by_geometry():
+    seam, blocked = np.ones((200, 300), bool), np.zeros((200, 300), bool)
+    blocked[:, :50] = True
+    spot = R.place_by_geometry(0.5, 11, 11, 100, 60, seam, blocked, np.arange(0, 280, 10), lambda r, c: -abs(c - 120), -1e9)
+    assert spot[:2] == (125, 120)
+    assert R.place_by_geometry(5, 11, 11, 100, 60, seam, blocked, np.arange(0, 280, 10), lambda r, c: 1.0, 0) is None
+    assert abs(R.across_weld(np.array([[0, 155], [5, 165]]), 100, 60) - 1) < 1e-9

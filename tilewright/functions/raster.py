@@ -325,3 +325,134 @@ def composite(host: np.ndarray, residual: np.ndarray, row: int, col: int, base:
     z = np.log(np.maximum(host[row : row + h, col : col + w].astype(float) - base, 1.0)) + scale * residual
     out[row : row + h, col : col + w] = np.clip(np.rint(np.exp(z) + base), 0, 65535).astype(host.dtype)
     return out
+
+
+def fill_smooth(image: np.ndarray, hole: np.ndarray, rounds: int = 400) -> np.ndarray:
+    """The image with its hole filled from the border: distances inwards first, then relaxed to a harmonic surface."""
+    out = np.asarray(image, float).copy()
+    if not hole.any() or hole.all():
+        return out
+    box = mask_box(hole)
+    x0, y0, x1, y1 = max(0, box[0] - 2), max(0, box[1] - 2), min(hole.shape[1], box[2] + 2), min(hole.shape[0], box[3] + 2)
+    part, open_ = out[y0:y1, x0:x1].copy(), hole[y0:y1, x0:x1].copy()
+    todo = open_.copy()
+    while todo.any():
+        wide, known = np.pad(np.where(todo, 0.0, part), 1), np.pad(~todo, 1)
+        total, n = np.zeros(part.shape), np.zeros(part.shape)
+        for dy, dx in ((0, 1), (2, 1), (1, 0), (1, 2)):
+            total += wide[dy : dy + part.shape[0], dx : dx + part.shape[1]]
+            n += known[dy : dy + part.shape[0], dx : dx + part.shape[1]]
+        ring = todo & (n > 0)
+        if not ring.any():
+            part[todo] = out[~hole].mean()
+            break
+        part[ring] = total[ring] / n[ring]
+        todo &= ~ring
+    for _ in range(rounds):
+        wide = np.pad(part, 1, mode="edge")
+        mean = (wide[:-2, 1:-1] + wide[2:, 1:-1] + wide[1:-1, :-2] + wide[1:-1, 2:]) / 4
+        step = np.abs(mean[open_] - part[open_]).max()
+        part[open_] = mean[open_]
+        if step < 1e-6 * (np.abs(part).max() + 1):
+            break
+    out[y0:y1, x0:x1] = part
+    return out
+
+
+def distance_inside(mask: np.ndarray, most: int) -> np.ndarray:
+    """Steps to the outside, up to ``most``."""
+    out, left = np.zeros(mask.shape), mask.copy()
+    for _ in range(most):
+        out += left
+        p = np.pad(left, 1)
+        left = left & p[:-2, 1:-1] & p[2:, 1:-1] & p[1:-1, :-2] & p[1:-1, 2:]
+    return out
+
+
+def additive(image: np.ndarray, base: float) -> np.ndarray:
+    return np.log(np.maximum(np.asarray(image, float) - base, 1.0))
+
+
+def grey(z: np.ndarray, base: float) -> np.ndarray:
+    return np.clip(np.rint(np.exp(z) + base), 0, 65535).astype(np.uint16)
+
+
+def extract(film: np.ndarray, mask: np.ndarray, base: float, sign: int = 0, blur: float = 1.0, ramp: int = 4, most: float = 0.0) -> dict:
+    """A defect's residual in the additive space, its blending weight and the grain around it.
+
+    ``sign``: -1 or 1 keeps darker or brighter residuals only. The residual is blurred; with ``most`` > 1 it is scaled so that its
+    90th percentile depth matches the one before blurring, by that factor at most. The weight rises over ``ramp`` pixels.
+    """
+    z = additive(film, base)
+    residual = np.where(mask, z - fill_smooth(z, mask), 0.0)
+    if sign:
+        residual = np.where(np.sign(residual) == sign, residual, 0.0)
+    soft = gaussian(residual, blur) * mask if blur > 0 else residual
+    if most > 1 and mask.any():
+        before, after = (np.percentile(np.abs(r[mask]), 90) for r in (residual, soft))
+        soft = soft * float(np.clip(before / after, 1.0, most)) if after > 0 else soft
+    weight = np.minimum(distance_inside(mask, ramp) / ramp, 1.0)
+    return {"residual": soft * weight, "weight": weight, "grain": grain(z, mask)}
+
+
+def null_implant(film: np.ndarray, mask: np.ndarray, base: float, seed: int) -> np.ndarray:
+    """The film with the masked part removed and refilled with background and grain; no other pixel changes."""
+    z = additive(film, base)
+    noise = np.random.default_rng(seed).normal(0, grain(z, mask), z.shape)
+    out = film.copy()
+    out[mask] = grey(fill_smooth(z, mask) + noise, base)[mask]
+    return out
+
+
+def augmentation(u: np.ndarray, elongated: bool, scale: float = 0.2, aspect: float = 0.2, amplitude: float = 0.15) -> dict:
+    """Parameters from six uniform draws: scale, aspect (split over both sides), rotation (10 degrees at most for elongated
+    shapes), amplitude and flips."""
+    spread = lambda v, s: float(np.exp((2 * v - 1) * np.log1p(s)))
+    a = spread(u[1], aspect)
+    turn = 10.0 if elongated else 180.0
+    return {"sx": spread(u[0], scale) * np.sqrt(a), "sy": spread(u[0], scale) / np.sqrt(a), "degrees": (2 * float(u[2]) - 1) * turn, "amplitude": spread(u[3], amplitude), "flip_x": bool(u[4] < 0.5), "flip_y": bool(u[5] < 0.5)}
+
+
+def warp(image: np.ndarray, points: np.ndarray, p: dict) -> tuple[np.ndarray, np.ndarray]:
+    """An image and its points under one affine map, on a canvas that holds the whole transformed crop; bilinear, 0 outside."""
+    h, w = image.shape
+    t = np.deg2rad(p["degrees"])
+    m = np.array([[np.cos(t), -np.sin(t)], [np.sin(t), np.cos(t)]]) @ np.diag([p["sx"] * (-1 if p["flip_x"] else 1), p["sy"] * (-1 if p["flip_y"] else 1)])
+    corners = np.array([[0, 0], [w - 1, 0], [w - 1, h - 1], [0, h - 1]], float) @ m.T
+    low = corners.min(0)
+    size = np.ceil(corners.max(0) - low).astype(int) + 1
+    yy, xx = np.mgrid[: size[1], : size[0]]
+    back = (np.stack([xx, yy], -1) + low) @ np.linalg.inv(m).T
+    x, y = back[..., 0], back[..., 1]
+    x0, y0 = np.floor(x).astype(int), np.floor(y).astype(int)
+    out = np.zeros(x.shape)
+    for dy in (0, 1):
+        for dx in (0, 1):
+            xi, yi = x0 + dx, y0 + dy
+            ok = (xi >= 0) & (xi < w) & (yi >= 0) & (yi < h)
+            weight = (1 - np.abs(x - xi)) * (1 - np.abs(y - yi))
+            out[ok] += (weight * np.asarray(image, float)[np.clip(yi, 0, h - 1), np.clip(xi, 0, w - 1)])[ok]
+    return out * p["amplitude"], np.asarray(points, float) @ m.T - low
+
+
+def place_by_geometry(u: float, height: int, width: int, centre: float, half_width: float, seam: np.ndarray, blocked: np.ndarray, columns: np.ndarray, score, least: float) -> tuple[int, int, float] | None:
+    """(row, column, score) of the best free spot inside the seam whose centre is at across-weld place ``u``; None if none reaches
+    ``least``. ``score(row, column)`` rates a spot."""
+    row = int(np.rint(centre + u * half_width - (height - 1) / 2))
+    if row < 0 or row + height > seam.shape[0]:
+        return None
+    best = None
+    for c in columns:
+        c = int(c)
+        if c < 0 or c + width > seam.shape[1] or blocked[row : row + height, c : c + width].any() or not seam[row : row + height, c : c + width].all():
+            continue
+        s = float(score(row, c))
+        if s >= least and (best is None or s > best[2]):
+            best = (row, c, s)
+    return best
+
+
+def across_weld(points: np.ndarray, centre: float, half_width: float) -> float:
+    """The across-weld place of a polygon's middle: 0 on the centre line, 1 on the toe."""
+    p = np.asarray(points, float)
+    return float(((p[:, 1].min() + p[:, 1].max()) / 2 - centre) / half_width)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import arrays, geometry
 from tilewright.functions import scalars as S
-from tilewright.operators import audit, constraints, groups, rebalance, sampling, spatial, statistics, tiles, windows
+from tilewright.operators import audit, constraints, groups, rebalance, sampling, selection, spatial, statistics, tiles, windows
 from tilewright.plans.inputs import BOXES, FILMS, FRACTION, GRID, OVERLAP, axis, boxes, films, table, tiles_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -673,3 +673,83 @@ def crop_and_flip(spark, sf):
         F.round(arrays.flip_rows(e, 8, 8)[0], 6).alias("below"),
         F.round(arrays.flip_columns(e, 8, 8)[0], 6).alias("beside"),
     )
+
+
+# selection
+
+
+@query(
+    """SELECT o_orderkey AS stem FROM orders WHERE o_orderpriority <> '1-URGENT' AND o_orderkey % 11 <> 0 AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)
+  AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) AND o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) % 3 = 1)"""
+)
+def eligible_films(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("stem"), F.col("o_custkey").alias("exposure"), F.when(F.col("o_orderpriority") != "1-URGENT", "uint16").otherwise("uint8").alias("dtype"), (F.col("o_orderkey") % 11 != 0).alias("has_label"))
+    c = table(spark, sf, "customer").withColumnRenamed("c_custkey", "exposure")
+    steps = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("stem")).agg((F.count("*") % 3).alias("step"))
+    return selection.eligible_films(o, c.where("c_nationkey = 3"), c.where("c_acctbal < 0"), steps).select("stem")
+
+
+@query(f"SELECT film FROM ({FILMS}) WHERE width > height AND width >= 400 AND film NOT IN (SELECT l_partkey FROM lineitem WHERE l_linenumber = 7)")
+def host_films(spark, sf):
+    used = table(spark, sf, "lineitem").where("l_linenumber = 7").select(F.col("l_partkey").alias("film")).distinct()
+    return selection.hosts(films(spark, sf), used, 400).select("film")
+
+
+@query(f"""WITH b AS (SELECT DISTINCT film, shape, cls, x0, y0, x1, y1, (x1 - x0) * (y1 - y0) AS area FROM ({BOXES})), q AS (SELECT cls, quantile_cont(area, 0.5) AS lo, quantile_cont(area, 0.9) AS hi FROM b GROUP BY cls),
+n AS (SELECT DISTINCT a.film, a.shape FROM b a JOIN b c ON a.film = c.film AND a.shape <> c.shape AND c.x0 <= a.x1 + 6 AND c.x1 >= a.x0 - 6 AND c.y0 <= a.y1 + 6 AND c.y1 >= a.y0 - 6)
+SELECT DISTINCT b.film, b.shape FROM b JOIN q USING (cls) WHERE area BETWEEN lo AND hi AND (b.film, b.shape) NOT IN (SELECT film, shape FROM n)""")
+def isolated_sources(spark, sf):
+    b = boxes(spark, sf).distinct().withColumn("area", (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
+    return selection.isolated_mid_sized(b, 6, by="cls").select("film", "shape").distinct()
+
+
+@query(
+    """SELECT event_id, CASE WHEN user_id % 10 = 0 THEN 'val' WHEN user_id % 10 = 1 THEN 'test' ELSE 'train' END AS part FROM events"""
+)
+def assign_parts(spark, sf):
+    e = table(spark, sf, "events").select("event_id", F.col("user_id").alias("exposure"))
+    users = e.select("exposure").distinct()
+    return selection.assign_parts(e, users.where("exposure % 10 = 0"), users.where("exposure % 10 = 1")).select("event_id", "part")
+
+
+@query(f"""WITH w AS (SELECT event_id, event_type, value > 60 AS pos FROM events), n AS (SELECT event_type, count(*) AS n FROM w WHERE pos GROUP BY 1)
+SELECT event_id FROM w WHERE pos UNION ALL SELECT event_id FROM (SELECT event_id, n, row_number() OVER (PARTITION BY event_type ORDER BY {_DRAW.format('event_id')}) AS k FROM w JOIN n USING (event_type) WHERE NOT pos) WHERE k <= n""")
+def segmentation_selection(spark, sf):
+    rows = table(spark, sf, "events").select("event_id", "event_type", F.array((F.col("value") > 60).cast("int")).alias("classes"))
+    return selection.balanced_parts(rows, "event_type", 7, "event_id").select("event_id")
+
+
+@query(f"""WITH t AS (SELECT film, x, y, side, concat(film, '__x', x, '__y', y, '__s', side) AS tile, (film + x) % 3 = 0 AS has_box FROM ({_FLUSH})), b AS ({BOXES}),
+h AS (SELECT tile, has_box FROM t WHERE EXISTS (SELECT 1 FROM b WHERE cls = 'AF' AND b.film = t.film AND x0 >= x AND x0 < x + side AND y0 >= y AND y0 < y + side) AND NOT EXISTS (SELECT 1 FROM b WHERE cls = 'RF' AND b.film = t.film AND x0 >= x AND x0 < x + side AND y0 >= y AND y0 < y + side))
+SELECT tile, CASE WHEN has_box THEN 'boxed' WHEN k <= 50 THEN 'holdout' ELSE 'null' END AS kind FROM (SELECT tile, has_box, row_number() OVER (PARTITION BY has_box ORDER BY {_DRAW.format('tile')}) AS k FROM h)""")
+def null_tile_selection(spark, sf):
+    t = tiles.enumerate_tiles(films(spark, sf), FRACTION, OVERLAP, "flush").select("film", "x", "y", "side")
+    t = t.withColumn("tile", S.tile_id(F.col("film").cast("string"), F.col("x"), F.col("y"), F.col("side"))).withColumn("has_box", (F.col("film") + F.col("x")) % 3 == 0)
+    p = boxes(spark, sf).select("film", "cls", F.col("x0").alias("px"), F.col("y0").alias("py"))
+    return selection.null_tiles(t, p.where("cls = 'AF'"), p.where("cls = 'RF'"), F.lit(50), 7).select("tile", "kind")
+
+
+@query("SELECT n_regionkey::BIGINT AS source, count(*) AS n, count(*) FILTER (o IS NULL) AS missing FROM (SELECT n_regionkey, c_custkey, o_custkey AS o FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN (SELECT DISTINCT o_custkey FROM orders) ON c_custkey = o_custkey) GROUP BY 1")
+def missing_by_source(spark, sf):
+    n = F.broadcast(table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").cast("long").alias("source")))
+    keys = table(spark, sf, "customer").join(n, "c_nationkey").select("source", F.col("c_custkey").alias("film"))
+    stems = table(spark, sf, "customer").select(F.col("c_custkey").alias("film"), F.col("c_custkey").alias("stem"))
+    inventory = table(spark, sf, "orders").select(F.col("o_custkey").alias("stem")).distinct()
+    return selection.missing_by_source(selection.two_hop(keys, stems, inventory))
+
+
+@query("SELECT tile, cls FROM (SELECT l_orderkey AS tile, l_returnflag || l_linestatus AS cls, l_partkey AS p, l_suppkey AS s, l_quantity AS q FROM lineitem WHERE l_linenumber = 1) a WHERE EXISTS (SELECT 1 FROM (SELECT l_orderkey AS tile, l_partkey AS p, l_suppkey AS s, l_quantity + l_orderkey % 2 AS q FROM lineitem WHERE l_linenumber = 1) b WHERE a.tile = b.tile AND a.p = b.p AND a.s = b.s AND a.q = b.q)")
+def arm_pairs(spark, sf):
+    l = table(spark, sf, "lineitem").where("l_linenumber = 1")  # noqa: E741
+    base = [F.col("l_orderkey").alias("uid"), F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("top")]
+    left = l.select(*base, F.col("l_quantity").alias("left"), F.concat("l_returnflag", "l_linestatus").alias("cls"))
+    right = l.select(*base, (F.col("l_quantity") + F.col("l_orderkey") % 2).alias("left"))
+    return selection.matched_pairs(left, right).select(F.col("uid").alias("tile"), "cls")
+
+
+@query("SELECT o_orderkey AS tile_id, o_orderkey % 101 = 0 AS new, o_orderkey % 103 = 0 AS gone FROM orders WHERE (o_orderkey % 101 = 0 OR o_orderkey % 103 = 0 OR o_orderkey % 107 = 0) AND NOT (o_orderkey % 101 = 0 AND o_orderkey % 103 = 0)")
+def label_changes(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("tile_id"), "o_orderpriority")
+    stored = o.where("tile_id % 101 <> 0").select("tile_id", F.col("o_orderpriority").alias("label_text"))
+    derived = o.where("tile_id % 103 <> 0").select("tile_id", F.concat("o_orderpriority", F.when(F.col("tile_id") % 107 == 0, " ").otherwise("")).alias("label_text"))
+    return selection.label_changes(stored, derived)
