@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tilewright.functions import arrays, geometry
 from tilewright.functions import scalars as S
 from tilewright.operators import audit, constraints, groups, rebalance, sampling, selection, spatial, statistics, tiles, windows
+from tilewright.operators import films as film_ops
 from tilewright.plans.inputs import BOXES, FILMS, FRACTION, GRID, OVERLAP, axis, boxes, films, table, tiles_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -753,3 +754,21 @@ def label_changes(spark, sf):
     stored = o.where("tile_id % 101 <> 0").select("tile_id", F.col("o_orderpriority").alias("label_text"))
     derived = o.where("tile_id % 103 <> 0").select("tile_id", F.concat("o_orderpriority", F.when(F.col("tile_id") % 107 == 0, " ").otherwise("")).alias("label_text"))
     return selection.label_changes(stored, derived)
+
+
+# array-batched kernels (no SQL form)
+
+
+@query()
+def instance_contrast(spark, sf):
+    e = _e()
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("stem"), F.lit(8).alias("height"), F.lit(8).alias("width"), e.alias("pixels"), F.transform(e, lambda v: v > 0.1).alias("mask"))
+    return film_ops.instance_contrasts(rows, least=2, ring=1).withColumn("contrast", F.round("contrast", 6))
+
+
+@query()
+def bead_geometry(spark, sf):
+    """A part as a film's row profile: a parabola whose place and width follow its key and size."""
+    y, k, s = F.sequence(F.lit(0), F.lit(499)), F.col("p_partkey"), F.col("p_size")
+    bead = F.transform(y, lambda v: 30000.0 + 20000.0 * F.greatest(F.lit(0.0), 1.0 - F.pow((v - 150 - k % 200) / (40.0 + 3 * s), F.lit(2.0))))
+    return film_ops.beads(table(spark, sf, "part").select(k.cast("string").alias("stem"), bead.alias("profile")))
