@@ -4,9 +4,9 @@
    each of BINS equal ranges, an empty bin taking the value of a full one that a fixed random probe sequence finds first
    (optimal densification). BANDS groups of ROWS bins are hashed into bucket keys.
 2. Documents with one set are one node, so groups of copies cost one node; the node is their smallest id.
-3. In a bucket every node is linked to the smallest and the largest node only: 2 edges a node and bucket, never all pairs.
-4. Links are confirmed in rounds: first each node's most frequent centre; then candidate edges between different components;
-   then, in buckets that still hold more than one component, edges to centres drawn anew, until a round finds no link.
+3. In a bucket every node is linked to the smallest node only: one edge a node and bucket, never all pairs.
+4. Links are confirmed in rounds: first each node's most frequent centre; then the other edges between different components and,
+   in buckets that hold several components, edges to a centre drawn anew, until a round finds no link.
    Members meet their centre's full set in groups of at most about GROUP, the centre's set being copied to each of them.
 5. Components come from alternating large-star and small-star steps; each step is written to the shared folder.
 
@@ -114,29 +114,30 @@ def signatures(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col:
     return C.map_batches(rows, make, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, c) whose full sets are similar enough. ``docs``: doc_id, text."""
-    salts = pairs.groupBy("c").agg(F.ceil(F.count("*") / GROUP).cast("long").alias("salts"))
-    dealt = pairs.join(salts, "c").select("a", "c", F.pmod(F.xxhash64("a"), "salts").alias("salt"))
-    members = dealt.select(F.col("a").alias("id"), "c", "salt", F.lit(1).alias("part"))
-    centres = dealt.select(F.col("c").alias("id"), "c", "salt", F.lit(0).alias("part")).distinct()
-    roles = C.written(members.unionByName(centres), "near-roles")
-
-    def sets():
-        shingler, last = Shingler(shingle), [None, None]
+def full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """(id, hashes) of the documents ``ids``: texts move once, the same way at every size."""
 
-        def one(text):
-            if text != last[0]:
-                last[:] = text, shingler.set_of(text).tobytes()
-            return last[1]
+    def make():
+        shingler = Shingler(shingle)
 
         def f(batch):
-            found = [one(x) for x in C.texts(batch)]
-            for i in range(0, len(found), 512):  # sets are larger than texts
-                yield pa.RecordBatch.from_arrays([*(batch.column(c)[i : i + 512] for c in ("id", "c", "salt", "part")), pa.array(found[i : i + 512], pa.binary())], ["id", "c", "salt", "part", "hashes"])
+            found = [shingler.set_of(x).tobytes() for x in C.texts(batch)]
+            for i in range(0, len(found), 1024):  # sets are larger than texts
+                yield pa.RecordBatch.from_arrays([batch.column("id")[i : i + 1024], pa.array(found[i : i + 1024], pa.binary())], ["id", "hashes"])
 
         return f
 
+    texts = docs.select(F.col("doc_id").alias("id"), "text").where("id IS NOT NULL AND text IS NOT NULL")
+    return C.map_batches(texts.join(ids.hint("merge"), "id", "left_semi"), make, "id long, hashes binary")
+
+
+def confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, c) whose full sets are similar enough. ``sets``: id, hashes."""
+    salts = pairs.groupBy("c").agg(F.ceil(F.count("*") / GROUP).cast("long").alias("salts"))
+    dealt = pairs.join(salts, "c").select("a", "c", F.pmod(F.xxhash64("a"), "salts").alias("salt"))
+    members = dealt.select(F.col("a").alias("id"), "c", "salt", F.lit(1).alias("part"))
+    centres = dealt.select(F.col("c").alias("id"), "c", "salt", F.lit(0).alias("part")).distinct()
+
     def check():
         state: dict = {"key": None, "sets": []}
 
@@ -163,9 +164,17 @@ def confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) ->
 
         return f
 
-    texts = docs.select(F.col("doc_id").alias("id"), "text").where("id IS NOT NULL AND text IS NOT NULL")
-    full = C.map_batches(texts.join(roles, "id").select("id", "c", "salt", "part", "text"), sets, "id long, c long, salt long, part int, hashes binary")
-    return C.map_batches(full.repartition("c", "salt").sortWithinPartitions("c", "salt", "part"), check, "a long, c long").distinct()
+    full = sets.join(members.unionByName(centres).hint("merge"), "id").select("id", "c", "salt", "part", "hashes")
+    return C.map_batches(full.repartition("c", "salt").sortWithinPartitions("c", "salt", "part"), check, "a long, c long")
+
+
+def settled(parents: DataFrame) -> DataFrame:
+    """(id, root) from (id, root) in which every root is a smaller node or the node itself: pointers are doubled until none moves."""
+    now = C.written(parents.select("id", "root", F.lit(True).alias("moved")), "near-roots")
+    while not now.where("moved").isEmpty():
+        up = now.select(F.col("id").alias("root"), F.col("root").alias("__up"))
+        now = C.written(now.select("id", "root").join(up, "root").select("id", F.col("__up").alias("root"), (F.col("__up") != F.col("root")).alias("moved")), "near-roots")
+    return now.select("id", "root")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -185,54 +194,53 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Those of ``pairs`` whose ends are in different components."""
+def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """``pairs`` whose ends are in different components, with these: a, c, ra, rc."""
     ra, rc = roots.select(F.col("id").alias("a"), F.col("root").alias("ra")), roots.select(F.col("id").alias("c"), F.col("root").alias("rc"))
-    joined = pairs.join(ra, "a", "left").join(rc, "c", "left")
-    return joined.where(F.coalesce("ra", "a") != F.coalesce("rc", "c")).select("a", "c")
+    return pairs.select("a", "c").join(ra, "a").join(rc, "c").where("ra <> rc").select("a", "c", "ra", "rc")
 
 
-def _edges_to(rows: DataFrame, *centres: str) -> DataFrame:
-    """Distinct (a, c, n): the larger and the smaller of a member and a centre of its bucket, and in how many buckets."""
-    pair = F.explode(F.array(*(F.struct(F.greatest("id", k).alias("a"), F.least("id", k).alias("c")) for k in centres))).alias("p")
-    return rows.select(pair).select("p.a", "p.c").where("a <> c").groupBy("a", "c").agg(F.count("*").alias("n"))
+def _edges_to(rows: DataFrame, centre: str) -> DataFrame:
+    """Distinct (a, c, n): the larger and the smaller of a member and its bucket's centre, and in how many buckets."""
+    return rows.select(F.greatest("id", centre).alias("a"), F.least("id", centre).alias("c")).where("a <> c").groupBy("a", "c").agg(F.count("*").alias("n"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id; documents are linked at ``percent`` of Jaccard similarity."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = C.written(signatures(docs, shingle), "near-signatures")
-    nodes = signed.where("k1 IS NOT NULL AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
+    nodes = C.written(signed.where("k1 IS NOT NULL AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "near-nodes")
     buckets = nodes.select(F.explode("bands").alias("b"), "id")
-    centres = buckets.groupBy("b").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
+    centres = buckets.groupBy("b").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").drop("hi")
     shared = C.written(buckets.join(centres, "b"), "near-buckets")
-    candidates = C.written(_edges_to(shared, "lo", "hi"), "near-candidates")
+    ids = shared.select("id").distinct()
+    sets = C.written(full_sets(docs, ids, shingle), "near-sets")
+    candidates = C.written(_edges_to(shared, "lo"), "near-candidates")
 
+    # each node's most frequent centre makes a forest
     best = candidates.groupBy("a").agg(F.max(F.struct("n", -F.col("c"))).alias("x")).select("a", (-F.col("x").getField("col2")).alias("c"))
-    links = C.written(confirmed(docs, best, shingle, percent), "near-links")
-    roots = components(links)
-    left = C.written(_across(candidates.select("a", "c"), roots), "near-left")
-    tried = 0
+    parents = confirmed(sets, best, percent).groupBy("a").agg(F.min("c").alias("c"))
+    roots = settled(ids.join(parents, ids.id == parents.a, "left").select("id", F.coalesce("c", "id").alias("root")))
+    # then edges between its trees: the other candidates, and in buckets with several components those to a centre drawn anew
+    seed, tried = 0, candidates.select("a", "c")
     while True:
-        if not left.isEmpty():
-            more = C.written(confirmed(docs, left, shingle, percent), "near-links")
-            found = not more.isEmpty()
-            if found:
-                links = links.unionByName(more)
-                roots = components(links)
-        else:
-            found = False
-        if tried and not found:
+        seed += 1
+        rooted = shared.select("b", "id").join(roots, "id")
+        mixed = rooted.groupBy("b").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by("id", F.xxhash64("id", F.lit(seed))).alias("k")).where("r0 < r1")
+        fresh = _edges_to(shared.select("b", "id").join(mixed.select("b", "k"), "b"), "k").select("a", "c")
+        fresh = tried.unionByName(fresh).distinct() if seed == 1 else fresh.join(tried, ["a", "c"], "left_anti")
+        left = C.written(_rooted(fresh, roots), "near-left")
+        if left.isEmpty():
             break
-        tried += 1
-        # buckets that still hold several components: a centre drawn anew, unless that edge has been tried
-        rooted = shared.select("b", "id").join(roots, "id", "left").select("b", "id", F.coalesce("root", "id").alias("root"))
-        mixed = rooted.groupBy("b").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by("id", F.xxhash64("id", F.lit(tried))).alias("k")).where("r0 < r1")
-        fresh = _edges_to(shared.select("b", "id").join(mixed.select("b", "k"), "b"), "k")
-        left = C.written(_across(fresh.join(candidates, ["a", "c"], "left_anti").select("a", "c"), roots), "near-left")
-
-    sets = nodes.select("k1", "k2", "id").join(roots, "id", "left").select("k1", "k2", F.coalesce("root", "id").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "k1", "k2").join(sets, ["k1", "k2"], "left")
+        links = C.written(left.join(confirmed(sets, left.select("a", "c"), percent), ["a", "c"]).select(F.col("ra").alias("a"), F.col("rc").alias("c")), "near-links")
+        if links.isEmpty():
+            break
+        up = components(links).select(F.col("id").alias("root"), F.col("root").alias("__up"))
+        roots = C.written(roots.join(up, "root", "left").select("id", F.coalesce("__up", "root").alias("root")), "near-roots")
+        tried = C.written(tried.unionByName(left.select("a", "c")).distinct(), "near-tried")
+
+    found = nodes.select("k1", "k2", "id").join(roots, "id", "left").select("k1", "k2", F.coalesce("root", "id").alias("component_id"))
+    out = signed.select("doc_id", "n_shingles", "k1", "k2").join(found, ["k1", "k2"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
