@@ -60,14 +60,31 @@ def held_out(doc_id: Column | str, n: int, remainder: int) -> Column:
     return F.coalesce(fold(doc_id, n) == remainder, F.lit(False))
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers outlive their tasks."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:
     """mapInArrow with state: ``make`` runs once a task and returns the function for its batches."""
 
     def run(batches):
-        f = make()
+        f, rows = make(), 0
         for batch in batches:
             if batch.num_rows:
+                rows += batch.num_rows
                 yield from f(batch)
+        del f
+        if rows > 1000:
+            release()
 
     return df.mapInArrow(run, schema)
 

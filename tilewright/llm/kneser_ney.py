@@ -157,6 +157,8 @@ def _counter(bits: int, bits2: int):
         if held:
             for row in pack(held):
                 yield pa.RecordBatch.from_arrays(_table([row]), _NAMES)
+        del hasher, held
+        C.release()
 
     return run
 

@@ -30,7 +30,7 @@ from tilewright.llm import _common as C
 BIN_BITS = 8
 BINS, BANDS, ROWS = 1 << BIN_BITS, 42, 6
 GROUP = 256
-CACHE = 1_000_000
+CACHE = 300_000
 
 _G = np.uint64(0x9E3779B97F4A7C15)
 

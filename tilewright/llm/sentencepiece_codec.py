@@ -31,8 +31,8 @@ from tilewright.llm.minhash_dedup import mix
 from tilewright.llm.token_counts import model_path
 
 ALPHA = 1.0
-BLOCK = 1_500_000
-CACHE = 250_000  # units whose lattices a worker keeps
+BLOCK = 700_000
+CACHE = 120_000  # units whose lattices a worker keeps
 FILTER_BITS = 22
 
 _G, _H = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
