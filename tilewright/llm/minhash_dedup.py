@@ -226,8 +226,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     while True:
         seed += 1
         rooted = shared.select("b", "id").join(roots, "id")
-        mixed = rooted.groupBy("b").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by("id", F.xxhash64("id", F.lit(seed))).alias("k")).where("r0 < r1")
-        fresh = _edges_to(shared.select("b", "id").join(mixed.select("b", "k"), "b"), "k").select("a", "c")
+        drawn = F.min_by(F.struct("id", "root"), F.xxhash64("id", F.lit(seed))).alias("k")
+        mixed = rooted.groupBy("b").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), drawn).where("r0 < r1").select("b", F.col("k.id").alias("k"), F.col("k.root").alias("rk"))
+        fresh = _edges_to(rooted.join(mixed, "b").where("root <> rk"), "k").select("a", "c")
         fresh = tried.unionByName(fresh).distinct() if seed == 1 else fresh.join(tried, ["a", "c"], "left_anti")
         left = C.written(_rooted(fresh, roots), "near-left")
         if left.isEmpty():
