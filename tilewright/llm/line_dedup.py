@@ -5,8 +5,9 @@
 2. The rows are range-partitioned by (hash, document) with a secondary sort by place. As the document is part of the range
    key, a line that a third of all documents hold is spread over many partitions.
 3. Each sorted partition is streamed once. The first document of a hash keeps its lines and the later ones drop theirs. Only
-   the first hash of a partition may have begun in an earlier one; its rows are written as pending, and their smallest
-   document is found by a pre-aggregated minimum over at most one hash a partition, which is small enough to broadcast.
+   the first hash of a partition may have begun in an earlier one; its rows are written as pending, and the owner of each
+   partition's last hash, which may go on in the next one, is written too. The smallest document of both is found by a
+   pre-aggregated minimum over at most two hashes a partition, which is small enough to broadcast.
 4. The places to drop, gathered for each document, become a compressed bitmap of the lines to keep.
 
 Texts move once, when ``apply_bitmaps`` joins them to their bitmaps by document.
@@ -77,23 +78,31 @@ def _rows_of(min_key: int):
 
 
 def _stream():
-    """Sorted batches -> rows to drop, and the pending rows of the partition's first hash."""
-    state: dict = {"head": None, "hash": None, "doc": None}
-
-    def f(batch):
-        h1, h2, doc = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        new = np.empty(len(h1), bool)
-        new[0] = state["hash"] != (h1[0], h2[0])
-        new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-        at = np.maximum.accumulate(np.where(new, np.arange(len(h1)), -1))  # where each row's hash begins; -1: in an earlier batch
-        owner = np.where(at >= 0, doc[at], state["doc"] if state["doc"] is not None else doc[0])
-        if state["head"] is None:
-            state["head"] = (h1[0], h2[0])
-        pending = (h1 == state["head"][0]) & (h2 == state["head"][1])
-        state["hash"], state["doc"] = (h1[-1], h2[-1]), owner[-1]
-        out = np.flatnonzero(pending | (owner != doc))
-        if len(out):
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(out)) for c in ("h1", "h2", "doc_id", "text_key", "n_lines", "places")), pa.array(pending[out])], ["h1", "h2", "doc_id", "text_key", "n_lines", "places", "pending"])
+    """Sorted batches -> rows to drop, the pending rows of the partition's first hash, and the owner of its last hash, without places."""
+    names = ["h1", "h2", "doc_id", "text_key", "n_lines", "places", "pending"]
+
+    def f(batches):
+        head = last = doc_before = like = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h1, h2, doc = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            new = np.empty(len(h1), bool)
+            new[0] = last != (h1[0], h2[0])
+            new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+            at = np.maximum.accumulate(np.where(new, np.arange(len(h1)), -1))  # where each row's hash begins; -1: in an earlier batch
+            owner = np.where(at >= 0, doc[at], doc_before if doc_before is not None else doc[0])
+            if head is None:
+                head = (h1[0], h2[0])
+            pending = (h1 == head[0]) & (h2 == head[1])
+            last, doc_before, like = (h1[-1], h2[-1]), owner[-1], batch.schema
+            out = np.flatnonzero(pending | (owner != doc))
+            if len(out):
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(out)) for c in names[:-1]), pa.array(pending[out])], names)
+        if last is not None:
+            one = [pa.array([int(x)], pa.int64()) for x in (*last, doc_before)]
+            yield pa.RecordBatch.from_arrays([*one, *(pa.nulls(1, like.field(c).type) for c in names[3:6]), pa.array([True])], names)
+            C.release()
 
     return f
 
@@ -103,10 +112,10 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("string").alias("text"))
     lines = C.map_batches(rows.where("doc_id IS NOT NULL AND text IS NOT NULL"), lambda: _rows_of(min_key), "h1 long, h2 long, doc_id long, text_key long, n_lines int, first int, places array<int>")
     dealt = lines.repartitionByRange("h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "first")
-    marks = C.written(C.map_batches(dealt, _stream, "h1 long, h2 long, doc_id long, text_key long, n_lines int, places array<int>, pending boolean"), "line-marks")
+    marks = C.written(dealt.mapInArrow(_stream(), "h1 long, h2 long, doc_id long, text_key long, n_lines int, places array<int>, pending boolean"), "line-marks")
     pending = marks.where("pending")
-    owners = pending.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"))  # one hash a partition at most
-    late = pending.join(F.broadcast(owners), ["h1", "h2"]).where(F.col("doc_id") != F.col("owner"))
+    owners = pending.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"))  # two hashes a partition at most
+    late = pending.where("places IS NOT NULL").join(F.broadcast(owners), ["h1", "h2"]).where(F.col("doc_id") != F.col("owner"))
     drops = marks.where("NOT pending").select("doc_id", "text_key", "n_lines", "places").unionByName(late.select("doc_id", "text_key", "n_lines", "places"))
     gathered = drops.groupBy("doc_id", "text_key", "n_lines").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("drop"))
 
