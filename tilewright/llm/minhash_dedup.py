@@ -6,7 +6,8 @@
 2. Documents with one set are one node, so groups of copies cost one node; the node is their smallest id.
 3. In a bucket every node is linked to the smallest node only: one edge a node and bucket, never all pairs.
 4. Links are confirmed in rounds: first each node's most frequent centre; then the other edges between different components and,
-   in buckets that hold several components, edges to a centre drawn anew, until a round finds no link.
+   in buckets that hold several components, edges to a centre drawn anew, until a round finds no link. At last all pairs of
+   different components that share a bucket and were not tried are compared, unless their sizes alone keep them below the bound.
    Members meet their centre's full set in groups of at most about GROUP, the centre's set being copied to each of them.
 5. Components come from alternating large-star and small-star steps; each step is written to the shared folder.
 
@@ -205,11 +206,30 @@ def _edges_to(rows: DataFrame, centre: str) -> DataFrame:
     return rows.select(F.greatest("id", centre).alias("a"), F.least("id", centre).alias("c")).where("a <> c").groupBy("a", "c").agg(F.count("*").alias("n"))
 
 
+def _rest(shared: DataFrame, nodes: DataFrame, roots: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
+    """(a, c) of all pairs that share a bucket, are in different components, can be similar by size and were not tried.
+
+    In a bucket the nodes outside its largest component meet all nodes, dealt in blocks of about GROUP; a pair is made in its
+    smallest common bucket only.
+    """
+    rooted = shared.select("b", "id").join(roots, "id")
+    per = rooted.groupBy("b", "root").agg(F.count("*").alias("m"))
+    mixed = per.groupBy("b").agg(F.max_by("root", F.struct("m", "root")).alias("top"), F.ceil(F.sum("m") / GROUP).cast("long").alias("salts"), F.count("*").alias("k")).where("k > 1").drop("k")
+    rows = C.written(rooted.join(mixed, "b").join(nodes.select("id", "n", "bands"), "id"), "near-mixed")
+    x = rows.where("root <> top").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).alias("x")
+    y = rows.withColumn("salt", F.pmod(F.xxhash64("id"), "salts")).alias("y")
+    apart = (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.top")) | (F.col("x.id") < F.col("y.id")))
+    sizes = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    once = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.b")
+    pairs = x.join(y, (F.col("x.b") == F.col("y.b")) & (F.col("x.salt") == F.col("y.salt")) & apart & sizes & once)
+    return pairs.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("c")).distinct().join(tried, ["a", "c"], "left_anti")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id; documents are linked at ``percent`` of Jaccard similarity."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = C.written(signatures(docs, shingle), "near-signatures")
-    nodes = C.written(signed.where("k1 IS NOT NULL AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "near-nodes")
+    nodes = C.written(signed.where("k1 IS NOT NULL AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "near-nodes")
     buckets = nodes.select(F.explode("bands").alias("b"), "id")
     centres = buckets.groupBy("b").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").drop("hi")
     shared = C.written(buckets.join(centres, "b"), "near-buckets")
@@ -221,24 +241,29 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     best = candidates.groupBy("a").agg(F.max(F.struct("n", -F.col("c"))).alias("x")).select("a", (-F.col("x").getField("col2")).alias("c"))
     parents = confirmed(sets, best, percent).groupBy("a").agg(F.min("c").alias("c"))
     roots = settled(ids.join(parents, ids.id == parents.a, "left").select("id", F.coalesce("c", "id").alias("root")))
-    # then edges between its trees: the other candidates, and in buckets with several components those to a centre drawn anew
-    seed, tried = 0, candidates.select("a", "c")
+    # then edges between its trees: the other candidates, and in buckets with several components those to a centre drawn anew;
+    # a round without a link says nothing of the pairs it did not draw, so the rest is compared at last
+    seed, tried, rest = 0, candidates.select("a", "c"), False
     while True:
         seed += 1
-        rooted = shared.select("b", "id").join(roots, "id")
-        drawn = F.min_by(F.struct("id", "root"), F.xxhash64("id", F.lit(seed))).alias("k")
-        mixed = rooted.groupBy("b").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), drawn).where("r0 < r1").select("b", F.col("k.id").alias("k"), F.col("k.root").alias("rk"))
-        fresh = _edges_to(rooted.join(mixed, "b").where("root <> rk"), "k").select("a", "c")
-        fresh = tried.unionByName(fresh).distinct() if seed == 1 else fresh.join(tried, ["a", "c"], "left_anti")
+        if rest:
+            fresh = _rest(shared, nodes, roots, tried, percent)
+        else:
+            rooted = shared.select("b", "id").join(roots, "id")
+            drawn = F.min_by(F.struct("id", "root"), F.xxhash64("id", F.lit(seed))).alias("k")
+            mixed = rooted.groupBy("b").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), drawn).where("r0 < r1").select("b", F.col("k.id").alias("k"), F.col("k.root").alias("rk"))
+            fresh = _edges_to(rooted.join(mixed, "b").where("root <> rk"), "k").select("a", "c")
+            fresh = tried.unionByName(fresh).distinct() if seed == 1 else fresh.join(tried, ["a", "c"], "left_anti")
         left = C.written(_rooted(fresh, roots), "near-left")
-        if left.isEmpty():
-            break
         links = C.written(left.join(confirmed(sets, left.select("a", "c"), percent), ["a", "c"]).select(F.col("ra").alias("a"), F.col("rc").alias("c")), "near-links")
-        if links.isEmpty():
+        found = not links.isEmpty()
+        if found:
+            up = components(links).select(F.col("id").alias("root"), F.col("root").alias("__up"))
+            roots = C.written(roots.join(up, "root", "left").select("id", F.coalesce("__up", "root").alias("root")), "near-roots")
+        if rest:
             break
-        up = components(links).select(F.col("id").alias("root"), F.col("root").alias("__up"))
-        roots = C.written(roots.join(up, "root", "left").select("id", F.coalesce("__up", "root").alias("root")), "near-roots")
         tried = C.written(tried.unionByName(left.select("a", "c")).distinct(), "near-tried")
+        rest = not found
 
     found = nodes.select("k1", "k2", "id").join(roots, "id", "left").select("k1", "k2", F.coalesce("root", "id").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "k1", "k2").join(found, ["k1", "k2"], "left")
