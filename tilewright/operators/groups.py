@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import json
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.functions import prefix
 from tilewright.sources.shared import written
 
 
@@ -85,6 +87,27 @@ def stratify(groups: list[tuple[str, int, dict[int, int], str | None]], n_test:
     return side
 
 
+def stratified_sides(counts: DataFrame, name: str, label: str, n: str, parts: int, seed: int = 0) -> DataFrame:
+    """(name, side) of every group of ``counts`` (name, label, n): one in ``parts`` is test, drawn within groups of equal counts.
+
+    Of each signature (a group's counts by label) the whole ``parts`` are dealt evenly; the remainders, fewer than ``parts`` a
+    signature, go through ``stratify``. Only the table of signatures comes to the driver.
+    """
+    pairs = F.array_sort(F.collect_list(F.struct(F.col(label).alias("k"), F.col(n).alias("n"))))
+    signed = counts.groupBy(name).agg(F.to_json(pairs).alias("__signature"))
+    found = sorted((r["__signature"], r["count"]) for r in signed.groupBy("__signature").count().collect())
+    quota = {s: m // parts for s, m in found}
+    total = sum(m for _, m in found)
+    extra = max(1, total // parts) - sum(quota.values()) if total > 1 else 0
+    rest = [(f"{s}#{i}", 1, {x["k"]: x["n"] for x in json.loads(s)}, None) for s, m in found for i in range(m % parts)]
+    for g, side in (stratify(rest, extra, seed) if extra else {}).items():
+        quota[g.rsplit("#", 1)[0]] += side == "test"
+    table = counts.sparkSession.createDataFrame(sorted(quota.items()), "__signature string, __quota long")
+    drawn = signed.withColumn("__draw", F.sha2(F.concat(F.lit(f"{seed}|"), F.col(name).cast("string")), 256))
+    ranked = prefix.draw_rank(drawn, "__draw", "__rank", ("__signature",))
+    return ranked.join(table, "__signature").select(name, F.when(F.col("__rank") < F.col("__quota"), "test").otherwise("val").alias("side"))
+
+
 def side_rollup(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """For every side and class: exposures, tiles and boxes, zero where a side has none. ``rows``: side, exposure, tile, cls."""
     per = rows.where("cls IS NOT NULL").groupBy("side", "cls").agg(F.count_distinct("exposure").alias("exposures"), F.count_distinct("tile").alias("tiles"), F.count("*").alias("boxes"))

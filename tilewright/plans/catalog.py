@@ -549,14 +549,9 @@ def dup_components(spark, sf):
 
 @query()
 def split_test_stratified(spark, sf):
-    """Customers of one nation, labels are order priorities: the hold-out of a study is some hundred groups."""
-    rows = table(spark, sf, "orders").join(table(spark, sf, "customer").where("c_nationkey = 3").select(F.col("c_custkey").alias("o_custkey")), "o_custkey")
-    per = rows.groupBy("o_custkey", F.substring("o_orderpriority", 1, 1).cast("int").alias("k")).agg(F.count("*").alias("n")).collect()
-    found: dict[str, dict[int, int]] = {}
-    for r in per:
-        found.setdefault(str(r.o_custkey), {})[r.k] = r.n
-    side = groups.stratify([(g, 1, c, None) for g, c in sorted(found.items())], max(1, len(found) // 4), 7) if len(found) > 1 else {}
-    return spark.createDataFrame(sorted(side.items()), "exposure string, side string")
+    """All customers with orders; labels are order priorities."""
+    per = table(spark, sf, "orders").groupBy("o_custkey", F.substring("o_orderpriority", 1, 1).cast("int").alias("k")).agg(F.count("*").alias("n"))
+    return groups.stratified_sides(per, "o_custkey", "k", "n", 4, 7).select(F.col("o_custkey").cast("string").alias("exposure"), "side")
 
 
 @query(
