@@ -25,10 +25,9 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines stay in their first document. A document that loses all its lines long enough to be compared goes: it was
-    a copy, and what is left of it is a few words."""
+    """Repeated lines stay in their first document. A document that loses lines and keeps none but blank ones goes."""
     done = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs), keep=REST)
-    own = F.exists(F.split("__text", "\n"), lambda x: F.length(F.btrim(x, F.lit(line_dedup.BLANKS))) >= line_dedup.MIN_KEY)
+    own = F.exists(F.split("__text", "\n"), lambda x: F.length(F.btrim(x, F.lit(line_dedup.BLANKS))) > 0)
     return _documents(done.where((F.col("__n_dropped") == 0) | own), "__text")
 
 
