@@ -54,6 +54,26 @@ def test_round_trip_and_same_pieces_in_any_batch():
     assert other.tolist() != ids.tolist()
 
 
+def test_a_cold_codec_gives_the_pieces_of_the_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = {r.doc_id: r.piece_ids for r in S.encode(docs).collect()}
+    again = {r.doc_id: r.piece_ids for r in S.encode(docs.repartition(7, "n_chars")).collect()}
+    assert again == want
+    keys = {r.doc_id: r.k for r in docs.selectExpr("doc_id", "xxhash64(doc_id, 0) AS k").collect()}
+    pieces = S.Pieces(model_path())
+    for r in docs.collect():
+        cold = S.Codec.__new__(S.Codec)
+        cold.pieces, cold.numbers, cold.kept = pieces, S._Numbers(), []
+        ids, _ = cold.encode([r.text or ""], np.array([keys[r.doc_id]], np.int64).view(np.uint64))
+        assert ids.tolist() == want[r.doc_id]
+
+
+def test_very_long_text_and_unit():
+    texts = ["ab c" * 300_000, "x" * 20_000, "\n" * 5_000]
+    ids, many = CODEC.encode(texts, np.arange(3, dtype=np.uint64))
+    assert [CODEC.decode(x.tolist()) for x in np.split(ids, np.cumsum(many)[:-1])] == texts
+
+
 def test_tables(docs_of):
     docs = docs_of([None, "", "ab cd", "ab cd", "ab cd"], ids=[1, 2, 3, 3, None])
     rows = S.encode(docs).collect()

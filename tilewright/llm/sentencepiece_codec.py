@@ -6,7 +6,8 @@ weights of all paths to each node; backward sampling draws, from the end, an arc
 Pieces never span the cuts before a run of spaces and around a line feed, so the lattice falls into units and the forward sums
 of a unit are computed once for all its occurrences in a block.
 
-The numbers drawn are a hash of the row's key, the unit's place and the step: the same row gives the same pieces anywhere.
+The numbers drawn are a hash of the row's key, the unit's place and the step, and the arcs into a node are ordered by their length:
+the same row gives the same pieces whatever else is in its block, whichever units a worker has met before.
 In the lattice a space is the mark of the pieces, so a literal U+2581 is spelled in bytes and decoding returns every text.
 
 One pass, no shuffle; memory is one block of BLOCK characters, or one text.
@@ -134,7 +135,8 @@ class Lattice:
         node = start + of[start]
         stop = node + length
         step = start - first[of[start]] + length  # of the end within its unit
-        order = np.argsort(step * (len(c) + len(units) + 1) + stop)  # by step, then end; the pieces of one end stay apart by start
+        # by step, then end; stable, as the order of the arcs into one node (by length) decides which of them a draw selects
+        order = np.argsort(step * (len(c) + len(units) + 1) + stop, kind="stable")
         node, stop, step, start, ids = node[order], stop[order], step[order], start[order], ids[order]
         # characters spelled in bytes
         spelled = np.flatnonzero(ids < 0)
@@ -315,4 +317,4 @@ def decode(rows: DataFrame, keep: tuple[str, ...] = ("doc_id",), ids_col: str =
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(C.documents(spark, sf_dir), with_ids=False).drop("piece_ids")
+    return encode(C.documents(spark, sf_dir))
