@@ -2,7 +2,7 @@
 
 1. Each text gives one row for each distinct line key of at least MIN_KEY code points: its 128-bit hash, the document, and the
    places of its lines.
-2. The rows are range-partitioned by (hash, document) with a secondary sort by place. As the document is part of the range
+2. The rows, written once so that texts are parsed once, are range-partitioned by (hash, document) with a secondary sort by place. As the document is part of the range
    key, a line that a third of all documents hold is spread over many partitions.
 3. Each sorted partition is streamed once. The first document of a hash keeps its lines and the later ones drop theirs. Only
    the first hash of a partition may have begun in an earlier one; its rows are written as pending, and the owner of each
@@ -111,6 +111,7 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, text_key, n_lines, n_dropped, keep) of the documents that lose a line; text_key is xxhash64 of the text."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("string").alias("text"))
     lines = C.map_batches(rows.where("doc_id IS NOT NULL AND text IS NOT NULL"), lambda: _rows_of(min_key), "h1 long, h2 long, doc_id long, text_key long, n_lines int, first int, places array<int>")
+    lines = C.written(lines, "line-hashes")  # the range sampler reads its input once more
     dealt = lines.repartitionByRange("h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "first")
     marks = C.written(dealt.mapInArrow(_stream(), "h1 long, h2 long, doc_id long, text_key long, n_lines int, places array<int>, pending boolean"), "line-marks")
     pending = marks.where("pending")
