@@ -4,18 +4,23 @@ Base patterns. All leftmost non-overlapping matches of a pattern come from ``reg
 them comes from ``split`` at the same pattern, so running sums of the two lengths give every match's place in code points.
 
 Entropy. A candidate is a longest run of token characters, of at least WINDOW of them, with a digit and a letter. Its class
-is hex (only hex digits) or token. A fold over its characters keeps a count for each character of the class and the sum S
-of c * log2(c): a step takes one character in and, once the window is full, one out, and changes S by those two terms
-only. The window's entropy is log2(WINDOW) - S / WINDOW. The span from the first to the last window that reaches the class's
-bound is a finding, unless the candidate is on the allow list or the span lies in a base span.
+is hex (only hex digits) or token. A fold over its characters keeps a count for each character of the class, eight to a long, and
+the sum S of c * log2(c) in whole units of 1 / SCALE, so that nothing drifts: a step takes one character in and, once the window is
+full, one out, and changes S by those two terms only. The window's entropy is log2(WINDOW) - S / WINDOW. The span from the first to
+the last window that reaches the class's bound is a finding, unless the candidate is on the allow list or the span lies in a
+base span.
 
-Results: a null or empty text has no spans; equal rows are scanned each; an empty table gives an empty table. Memory is one
-text and its matches; nothing is shuffled.
+Cost. Expressions inside a lambda are evaluated at each call, so what is large is bound once (``_let``). The entropy fold is linear in
+the candidate; running sums and maxima over n matches copy n ** 1.5 places (``_before``); sorting takes n log n.
+
+Results: a null or empty text has no spans; equal rows are scanned each; an empty table gives an empty table; a candidate of any
+length is scanned whole. Memory is one text, its matches and about 50 bytes for each character of one candidate; nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,57 +39,105 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 WINDOW = 20
 BOUNDS = {"hex": 3.05, "token": 3.85}  # bits a character; no window of 20 has exactly these
-ALPHABETS = {"hex": "0123456789abcdef", "token": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"}
-CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
-#: A candidate that matches one of these is not a secret: UUIDs, paths of three and more parts, documentation's sample keys, counting alphabets.
+ALPHABETS = {"hex": "0123456789abcdef", "token": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="}
+CANDIDATE = "[A-Za-z0-9+/_-]{20,}={0,2}"
+#: A whole candidate of at most ALLOW_MOST characters that matches one of these is not a secret: UUIDs, paths of plain words, values
+#: that end as documentation's sample keys do, counting alphabets.
 ALLOWED = (
     "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
-    "^[A-Za-z_-]*/[A-Za-z0-9_-]+/[A-Za-z0-9_/-]+$",
-    "EXAMPLE|example|CHANGEME|changeme|xxxxxxxx|XXXXXXXX",
-    "0123456789|abcdefghijklmnop|ABCDEFGHIJKLMNOP",
+    "^/?[A-Za-z][a-z]*([_-][a-z]+)*[0-9]{0,4}(/[A-Za-z][a-z]*([_-][a-z]+)*[0-9]{0,4}){2,}/?$",
+    "(EXAMPLE|example|CHANGEME|changeme)(KEY|key)?=*$",
+    "^(0123456789|ABCDEFGHIJKLMNOPQRSTUVWXYZ|abcdefghijklmnopqrstuvwxyz|ABCDEF|abcdef|[+/=_-])+$",
 )
+ALLOW_MOST = 512  # a pattern with groups recurses in its matcher
+SCALE = 1 << 40
+_TERMS = [0, *(round(c * math.log2(c) * SCALE) for c in range(1, WINDOW + 1))]
+
+_SPANS = "array<struct<start:int,end:int,rank:int,kind:string>>"
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _before(values: Column, zero: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """What ``join`` makes, from ``zero`` on, of all values before each one. Blocks of sqrt(n) bound what appending copies."""
+
+    def scan(block, begin):
+        start = F.struct(begin.alias("at"), F.slice(F.array(begin), 1, 0).alias("out"))
+        return F.aggregate(block, start, lambda s, v: F.struct(join(s["at"], v).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+
+    def whole(v):
+        width = F.ceil(F.sqrt(F.size(v))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / width).cast("int")), lambda i: F.slice(v, i * width + 1, width))
+        return _let(blocks, lambda p: F.flatten(F.zip_with(p, scan(F.transform(p, lambda x: F.aggregate(x, zero, join)), zero), scan)))
+
+    return _let(values, lambda v: F.when(F.size(v) > 0, whole(v)).otherwise(F.slice(F.array(zero), 1, 0)))
+
 
+def _matches(text: Column, pattern: str, kind: str, group: int = 0, least: int = 0) -> Column:
+    """array<struct<start, end, rank, kind, word>> of the matches whose ``group`` has at least ``least`` characters."""
+    parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("word"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"), F.split(text, pattern, -1).alias("gap"))
 
-def _spans(text: Column, pattern: str, kind: str, good: Column | None = None) -> Column:
-    """array<struct<start, end, rank, kind>> of the matches. ``good``: which of them stay, by index."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,rank:int,kind:string>>").alias("out"))
+    def placed(m):
+        steps = F.transform(m["word"], lambda w, i: F.length(w) + F.length(F.get(m["gap"], i)))
 
-    def step(acc, i):
-        begin = acc["at"] + F.length(F.get(gaps, i))
-        end = begin + F.length(F.get(found, i))
-        one = F.array(F.struct(begin.alias("start"), end.alias("end"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind")))
-        return F.struct(end.alias("at"), F.concat(acc["out"], one if good is None else F.when(F.get(good, i), one).otherwise(F.slice(one, 1, 0))).alias("out"))
+        def at(before):
+            begin = lambda i: F.get(before, i) + F.length(F.get(m["gap"], i))
+            every = F.transform(
+                m["word"],
+                lambda w, i: F.struct(begin(i).alias("start"), (begin(i) + F.length(w)).alias("end"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), w.alias("word"), F.length(F.get(m["value"], i)).alias("n")),
+            )
+            return F.filter(every, lambda x: x["n"] >= least)
 
-    every = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), every).otherwise(F.array().cast("array<struct<start:int,end:int,rank:int,kind:string>>"))
+        return _let(_before(steps, F.lit(0), lambda a, b: a + b), at)
 
+    none = F.array().cast("array<struct<start:int,end:int,rank:int,kind:string,word:string,n:int>>")
+    return F.when(text.rlike(pattern), _let(parts, placed)).otherwise(none)
 
-def _clogc(c: Column) -> Column:
-    return F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
+
+def _plain(spans: Column) -> Column:
+    return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["rank"].alias("rank"), x["kind"].alias("kind")))
 
 
 def _high_windows(candidate: Column, alphabet: str, bound: float) -> Column:
     """struct<first, last>: starts of the first and last window of a candidate whose entropy reaches ``bound``; -1 if none does."""
-    most = (math.log2(WINDOW) - bound) * WINDOW  # of S
-    begin = F.struct(F.array_repeat(F.lit(0), len(alphabet) + 1).alias("n"), F.lit(0.0).alias("s"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+    most = F.lit(math.floor((math.log2(WINDOW) - bound) * WINDOW * SCALE))  # of S
+    terms = F.array(*(F.lit(t).cast("long") for t in _TERMS))
+    zeros = F.array_repeat(F.lit(0).cast("long"), len(alphabet) // 8 + 1)
+    begin = F.struct(zeros.alias("n"), F.lit(0).cast("long").alias("s"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+    bit = lambda a: F.call_function("shiftleft", F.lit(1).cast("long"), a.bitwiseAND(7) * 8)
+    count = lambda n, a: F.call_function("shiftright", F.get(n, F.shiftright(a, 3)), a.bitwiseAND(7) * 8).bitwiseAND(255).cast("int")
+
+    def fold(v):
+        def step(acc, i):
+            def moved(c):
+                into, out = F.when(c["a"] != c["b"], c["ka"]), F.when(c["a"] != c["b"], c["kb"])
+                term = lambda k: F.get(v["terms"], k)
+                s = F.when(c["a"] == c["b"], acc["s"]).otherwise(acc["s"] - term(into) + term(into + 1) - term(out) + term(F.greatest(out - 1, F.lit(0))))
+                n = F.when(c["a"] == c["b"], acc["n"]).otherwise(
+                    F.transform(acc["n"], lambda x, k: x + F.when(k == F.shiftright(c["a"], 3), bit(c["a"])).otherwise(F.lit(0)) - F.when((c["b"] >= 0) & (k == F.shiftright(c["b"], 3)), bit(c["b"])).otherwise(F.lit(0)))
+                )
+                return F.struct(n.alias("n"), s.alias("s"))
+
+            a, b = F.get(v["codes"], i), F.when(i >= WINDOW, F.get(v["codes"], i - WINDOW)).otherwise(F.lit(-1))
+            both = F.struct(a.alias("a"), b.alias("b"), count(acc["n"], a).alias("ka"), F.when(b >= 0, count(acc["n"], b)).otherwise(F.lit(0)).alias("kb"))
+
+            def judged(m):
+                high = (i >= WINDOW - 1) & (m["s"] <= most)
+                return F.struct(m["n"].alias("n"), m["s"].alias("s"), F.when(high & (acc["first"] < 0), i - (WINDOW - 1)).otherwise(acc["first"]).alias("first"), F.when(high, i - (WINDOW - 1)).otherwise(acc["last"]).alias("last"))
+
+            return _let(_let(both, moved), judged)
 
-    def step(acc, i):
-        a, b = F.position(F.substr(candidate, i, F.lit(1)), F.lit(alphabet)), F.when(i > WINDOW, F.position(F.substr(candidate, i - WINDOW, F.lit(1)), F.lit(alphabet))).otherwise(F.lit(0))
-        out = F.when(b > 0, F.get(acc["n"], b)).otherwise(F.lit(0))
-        s1 = F.when(b > 0, acc["s"] - _clogc(out) + _clogc(out - 1)).otherwise(acc["s"])
-        into = F.get(acc["n"], a) - F.when(a == b, 1).otherwise(0)
-        s2 = s1 - _clogc(into) + _clogc(into + 1)
-        n = F.when(a == b, acc["n"]).otherwise(F.transform(acc["n"], lambda x, k: x + F.when(k == a, 1).otherwise(0) - F.when((k == b) & (b > 0), 1).otherwise(0)))
-        high = (i >= WINDOW) & (s2 <= most)
-        return F.struct(n.alias("n"), s2.alias("s"), F.when(high & (acc["first"] < 0), i - WINDOW).otherwise(acc["first"]).alias("first"), F.when(high, i - WINDOW).otherwise(acc["last"]).alias("last"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(v["codes"]) - 1), begin, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(candidate)), begin, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+    codes = F.transform(F.split(candidate, "", -1), lambda c: F.instr(F.lit(alphabet), c) - 1)
+    return _let(F.struct(codes.alias("codes"), terms.alias("terms")), fold)
 
 
 def _entropy_spans(runs: Column) -> Column:
-    """Findings in the candidates of ``runs`` (spans with their strings)."""
+    """Findings in the candidates ``runs`` (spans with their words)."""
 
     def one(x):
         c = x["word"]
@@ -93,7 +146,7 @@ def _entropy_spans(runs: Column) -> Column:
             allowed = allowed | c.rlike(p)
         w = F.when(c.rlike("^[0-9a-f]+$"), _high_windows(c, ALPHABETS["hex"], BOUNDS["hex"])).otherwise(_high_windows(c, ALPHABETS["token"], BOUNDS["token"]))
         none = F.struct(F.lit(-1).alias("first"), F.lit(-1).alias("last"))
-        return F.struct(x["start"].alias("at"), F.when(allowed | ~c.rlike("[0-9]") | ~c.rlike("[A-Za-z]"), none).otherwise(w).alias("w"))
+        return F.struct(x["start"].alias("at"), F.when(~c.rlike("[0-9]") | ~c.rlike("[A-Za-z]") | ((F.length(c) <= ALLOW_MOST) & allowed), none).otherwise(w).alias("w"))
 
     found = F.filter(F.transform(runs, one), lambda x: x["w"]["first"] >= 0)
     return F.transform(
@@ -104,21 +157,29 @@ def _entropy_spans(runs: Column) -> Column:
     )
 
 
+def _outside(base: Column, high: Column) -> Column:
+    """The spans of ``high`` that lie in no span of ``base``: none that begins before them, or with them, reaches their end."""
+    entropy = KINDS.index("entropy")
+    turned = F.transform(F.concat(base, high), lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), x["kind"].alias("kind")))
+
+    def free(every):
+        reach = _before(F.transform(every, lambda x: F.when(x["rank"] < entropy, x["end"]).otherwise(F.lit(0))), F.lit(0), lambda a, b: F.greatest(a, b))
+        return _let(reach, lambda r: F.filter(every, lambda x, i: (x["rank"] == entropy) & (F.get(r, i) < x["end"])))
+
+    return F.when(F.size(high) > 0, _plain(_let(F.sort_array(turned), free))).otherwise(F.array().cast(_SPANS))
+
+
 def _joined(spans: Column) -> Column:
-    return F.array_join(F.transform(F.array_sort(F.transform(spans, lambda x: F.struct(x["start"], x["rank"], x["end"], x["kind"]))), lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    return F.array_join(F.transform(F.sort_array(F.transform(spans, lambda x: F.struct(x["start"], x["rank"], x["end"], x["kind"]))), lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, base and entropy: arrays of struct<start, end, rank, kind>, places in code points, end exclusive."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     t = F.col("text")
-    values = F.transform(F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(2)), lambda v: F.length(v) >= 8)
-    long_enough = F.transform(F.regexp_extract_all(t, F.lit(ACCESS), F.lit(0)), lambda v: F.length(v) >= 16)
-    base = F.concat(_spans(t, ASSIGN, "assign", values), _spans(t, ACCESS, "access", long_enough), _spans(t, HEX, "hex"))
-    runs = F.transform(_spans(t, CANDIDATE, "entropy"), lambda x: F.struct(x["start"].alias("start"), F.substr(t, x["start"] + 1, x["end"] - x["start"]).alias("word")))
-    out = rows.withColumn("base", base).withColumn("high", F.when(t.rlike(CANDIDATE), _entropy_spans(runs)).otherwise(F.array().cast("array<struct<start:int,end:int,rank:int,kind:string>>")))
-    outside = F.filter("high", lambda h: ~F.exists("base", lambda b: (b["start"] <= h["start"]) & (b["end"] >= h["end"])))
-    return out.select("doc_id", "base", outside.alias("entropy"))
+    base = F.concat(_plain(_matches(t, ASSIGN, "assign", 2, 8)), _plain(_matches(t, ACCESS, "access", 0, 16)), _plain(_matches(t, HEX, "hex")))
+    out = rows.withColumn("base", base).withColumn("high", F.when(t.rlike(CANDIDATE), _entropy_spans(_matches(t, CANDIDATE, "entropy"))).otherwise(F.array().cast(_SPANS)))
+    return out.select("doc_id", "base", _outside(F.col("base"), F.col("high")).alias("entropy"))
 
 
 def _count(kind: str) -> Column:
@@ -148,7 +209,7 @@ u AS (SELECT rid, base, unnest(c) AS x FROM b),
 e AS (
   SELECT rid, base, x, list_filter(range(0, x.n - {WINDOW} + 1), lambda j: list_entropy(string_split(substr(x.w, j + 1, {WINDOW}), '')) >=
     CASE WHEN regexp_full_match(x.w, '[0-9a-f]+') THEN {BOUNDS["hex"]} ELSE {BOUNDS["token"]} END) AS j
-  FROM u WHERE regexp_matches(x.w, '[0-9]') AND regexp_matches(x.w, '[A-Za-z]') AND NOT ({" OR ".join(f"regexp_matches(x.w, '{p}')" for p in ALLOWED)})),
+  FROM u WHERE regexp_matches(x.w, '[0-9]') AND regexp_matches(x.w, '[A-Za-z]') AND NOT (x.n <= {ALLOW_MOST} AND ({" OR ".join(f"regexp_matches(x.w, '{p}')" for p in ALLOWED)}))),
 f AS (
   SELECT rid, list(struct_pack(s := x.s + j[1], n := j[len(j)] - j[1] + {WINDOW}, r := 3, k := 'entropy', w := '')) AS high
   FROM e WHERE len(j) > 0 AND len(list_filter(base, lambda b: b.s <= x.s + j[1] AND b.s + b.n >= x.s + j[len(j)] + {WINDOW})) = 0 GROUP BY rid),
