@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tilewright.functions.arrays import let
 
 def xs(points: Column) -> Column:
     return F.transform(points, lambda p: p["x"])
@@ -110,7 +111,8 @@ def yolo_segment(cls: Column, points: Column, side: Column) -> Column:
 
 def shape_key(points: Column, digits: int = 2) -> Column:
     """A key that a translation leaves as it is: rounded differences from the first point."""
-    return F.to_json(F.transform(points, lambda p: F.array(F.round(p["x"] - points[0]["x"], digits), F.round(p["y"] - points[0]["y"], digits))))
+    zero = lambda v: F.round(v, digits) + F.lit(0.0)  # noqa: E731  no negative zeros
+    return F.to_json(let(points, lambda q: F.transform(q, lambda p: F.array(zero(p["x"] - q[0]["x"]), zero(p["y"] - q[0]["y"])))))
 
 
 def crop_rect(seam: Column, label: Column, height: Column, width: Column, margin: float) -> Column:

@@ -123,8 +123,7 @@ def source_rollup(rows: DataFrame, source: str, status: str, ok: str, value: str
     return out.withColumn("ok_share", F.round(F.try_divide("n_ok", "n_known"), 3))
 
 
-def tainted(groups: DataFrame, val: DataFrame) -> DataFrame:
-    """Exposures in a duplicate group (array members) with a val exposure, without those of val."""
-    rows = groups.select(F.monotonically_increasing_id().alias("g"), "members").withColumn("exposure", F.explode("members")).select("g", "exposure")
-    hit = rows.join(val.select("exposure"), "exposure", "left_semi").select("g").distinct()
-    return rows.join(hit, "g", "left_semi").select("exposure").distinct().join(val.select("exposure"), "exposure", "left_anti")
+def tainted(members: DataFrame, val: DataFrame, group: str = "group", exposure: str = "exposure") -> DataFrame:
+    """Exposures that share a group (rows group, exposure) with a val exposure, without those of val."""
+    hit = members.join(val.select(exposure), exposure, "left_semi").select(group).distinct()
+    return members.join(hit, group, "left_semi").select(exposure).distinct().join(val.select(exposure), exposure, "left_anti")

@@ -40,30 +40,57 @@ def clipped_boxes(pairs: DataFrame) -> DataFrame:
     return out.withColumn("box_w", w).withColumn("box_h", h).withColumn("visible", F.least(F.lit(1.0), w * h / area))
 
 
-def rule_sweep(clipped: DataFrame, rules: list[tuple[float, float, float]], tile: list[str], cls: str) -> DataFrame:
-    """Boxes by class and positive tiles under each (min_side, visible_share, tile_share), in one pass over the pairs."""
-    options = F.array(*(F.struct(F.lit(i).alias("rule"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for i, (a, b, c) in enumerate(rules)))
-    rows = clipped.select(*tile, cls, "box_w", "box_h", "visible", "side", F.explode(options).alias("r"))
-    kept = rows.where((F.col("box_w") >= F.col("r.a")) & (F.col("box_h") >= F.col("r.a")) & ((F.col("visible") >= F.col("r.b")) | (F.col("box_w") * F.col("box_h") >= F.col("r.c") * F.col("side") * F.col("side"))))
-    per_tile = kept.groupBy(F.col("r.rule").alias("rule"), *tile).agg(F.count("*").alias("boxes"))
-    return per_tile.groupBy("rule").agg(F.sum("boxes").cast("long").alias("boxes"), F.count("*").cast("long").alias("positive_tiles"))
+def _kept(rule: tuple[float, float, float]) -> Column:
+    a, b, c = rule
+    return (F.col("box_w") >= a) & (F.col("box_h") >= a) & ((F.col("visible") >= b) | (F.col("box_w") * F.col("box_h") >= F.lit(c) * F.col("side") * F.col("side")))
 
 
-def windows_with_point(windows: DataFrame, points: DataFrame, film: str = "film") -> DataFrame:
-    """Windows that contain a point (film, px, py), each once."""
-    w, p = windows.alias("w"), points.alias("p")
-    return w.join(p, (F.col(f"w.{film}") == F.col(f"p.{film}")) & G.in_window(F.col("p.px"), F.col("p.py"), F.col("w.x"), F.col("w.y"), F.col("w.side")), "left_semi")
+def rule_sweep(clipped: DataFrame, rules: list[tuple[float, float, float]], tile: list[str]) -> DataFrame:
+    """(rule, boxes, positive_tiles) under each (min_side, visible_share, tile_share): conditional counts a tile, then over all tiles."""
+    per_tile = clipped.groupBy(*tile).agg(*(F.count_if(_kept(r)).alias(f"r{i}") for i, r in enumerate(rules)))
+    total = per_tile.agg(*(F.struct(F.sum(f"r{i}").alias("boxes"), F.count_if(F.col(f"r{i}") > 0).alias("tiles")).alias(f"r{i}") for i in range(len(rules))))
+    rows = total.select(F.explode(F.array(*(F.struct(F.lit(i).alias("rule"), F.col(f"r{i}.boxes").alias("boxes"), F.col(f"r{i}.tiles").alias("positive_tiles")) for i in range(len(rules))))).alias("x"))
+    return rows.select("x.rule", F.coalesce("x.boxes", F.lit(0)).cast("long").alias("boxes"), F.col("x.positive_tiles").cast("long").alias("positive_tiles")).where("boxes > 0")
 
 
-def clashes(boxes: DataFrame, margin: float, film: str = "film", key: str = "shape") -> DataFrame:
-    """Boxes that come within ``margin`` of another box of the film, each once."""
-    a, b = boxes.alias("a"), boxes.alias("b")
+def rule_sweep_classes(clipped: DataFrame, rules: list[tuple[float, float, float]], cls: str) -> DataFrame:
+    """(rule, cls, boxes) under each rule; combined before the shuffle, which moves one row a class and task."""
+    per = clipped.groupBy(F.col(cls).alias("cls")).agg(F.array(*(F.struct(F.lit(i).alias("rule"), F.count_if(_kept(r)).alias("boxes")) for i, r in enumerate(rules))).alias("x"))
+    return per.select("cls", F.explode("x").alias("x")).select("x.rule", "cls", F.col("x.boxes").cast("long").alias("boxes")).where("boxes > 0")
+
+
+def windows_with_point(windows: DataFrame, points: DataFrame, film: str = "film", cell: int | None = None) -> DataFrame:
+    """Windows that contain a point (film, px, py), each once. ``cell`` as in ``window_boxes``; windows are then told apart by all
+    their columns."""
+    hit = G.in_window(F.col("p.px"), F.col("p.py"), F.col("w.x"), F.col("w.y"), F.col("w.side"))
+    if cell is None:
+        return windows.alias("w").join(points.alias("p"), (F.col(f"w.{film}") == F.col(f"p.{film}")) & hit, "left_semi")
+    w = windows.withColumn("__cx", F.explode(_cells(F.col("x"), F.col("x") + F.col("side"), cell))).withColumn("__cy", F.explode(_cells(F.col("y"), F.col("y") + F.col("side"), cell)))
+    p = points.select(film, "px", "py", F.floor(F.col("px") / cell).alias("__cx"), F.floor(F.col("py") / cell).alias("__cy"))
+    same = (F.col(f"w.{film}") == F.col(f"p.{film}")) & (F.col("w.__cx") == F.col("p.__cx")) & (F.col("w.__cy") == F.col("p.__cy"))
+    return w.alias("w").join(p.alias("p"), same & hit, "left_semi").drop("__cx", "__cy").distinct()
+
+
+def clashes(boxes: DataFrame, margin: float, film: str = "film", key: str = "shape", cell: int | None = None) -> DataFrame:
+    """Boxes that come within ``margin`` of another box of the film, each once. ``cell`` as in ``window_boxes``: boxes meet in the
+    grid cells that they reach with the margin, so a film with very many boxes is no hot key."""
     near = (F.col("b.x0") <= F.col("a.x1") + margin) & (F.col("b.x1") >= F.col("a.x0") - margin) & (F.col("b.y0") <= F.col("a.y1") + margin) & (F.col("b.y1") >= F.col("a.y0") - margin)
-    return a.join(b, (F.col(f"a.{film}") == F.col(f"b.{film}")) & (F.col(f"a.{key}") != F.col(f"b.{key}")) & near, "left_semi")
+    other = (F.col(f"a.{film}") == F.col(f"b.{film}")) & (F.col(f"a.{key}") != F.col(f"b.{key}"))
+    if cell is None:
+        return boxes.alias("a").join(boxes.alias("b"), other & near, "left_semi")
+
+    def cut(grow):
+        return boxes.withColumn("__cx", F.explode(_cells(F.col("x0") - grow, F.col("x1") + grow, cell))).withColumn("__cy", F.explode(_cells(F.col("y0") - grow, F.col("y1") + grow, cell)))
+
+    same = (F.col("a.__cx") == F.col("b.__cx")) & (F.col("a.__cy") == F.col("b.__cy"))
+    return cut(margin).alias("a").join(cut(0).select(film, key, "x0", "y0", "x1", "y1", "__cx", "__cy").alias("b"), other & same & near, "left_semi").drop("__cx", "__cy").distinct()
 
 
 def best_window(windows: DataFrame, points: DataFrame, film: str = "film", key: str = "shape") -> DataFrame:
-    """For each point the window that contains it if one does, else the nearest by centre; ties by (y, x)."""
+    """For each point the window that contains it if one does, else the nearest by centre; ties by (y, x).
+
+    Pairs are reduced to the best within a task before they are shuffled by point.
+    """
     both = points.join(windows, film)
     cx, cy = F.col("x") + F.col("side") / 2.0, F.col("y") + F.col("side") / 2.0
     distance = F.hypot(F.col("px") - cx, F.col("py") - cy)
@@ -72,15 +99,32 @@ def best_window(windows: DataFrame, points: DataFrame, film: str = "film", key:
     return both.groupBy(film, key).agg(F.min(order).alias("best")).select(film, key, (~F.col("best.outside")).alias("inside"), F.col("best.distance").alias("distance"), F.col("best.x").alias("x"), F.col("best.y").alias("y"))
 
 
-def translation_matches(left: DataFrame, right: DataFrame, points: str = "points") -> DataFrame:
-    """Pairs of polygons of ``left`` and ``right`` that are translations of each other, with the offset."""
-    a = left.withColumn("__shape", G.shape_key(F.col(points))).select("__shape", F.col("id").alias("left_id"), F.col(points)[0].alias("__a"))
-    b = right.withColumn("__shape", G.shape_key(F.col(points))).select("__shape", F.col("id").alias("right_id"), F.col(points)[0].alias("__b"))
-    both = a.join(b, "__shape")
-    return both.select("left_id", "right_id", F.round(F.col("__b.x") - F.col("__a.x"), 2).alias("dx"), F.round(F.col("__b.y") - F.col("__a.y"), 2).alias("dy"))
-
+def translation_classes(polygons: DataFrame, points: str = "points", rotations: tuple[int, ...] = (0,), width: Column | float = 0.0, height: Column | float = 0.0) -> DataFrame:
+    """Every polygon (id) with its class of polygons that are translations of each other after quarter turns: representative (the
+    smallest id), rotation (turns that bring it onto the representative's form), dx, dy (offset of its first point) and n, the
+    class's size. Equal shapes are joined through their representative, so no pairs within a class are made.
 
-def majority_offset(matches: DataFrame) -> DataFrame:
-    """(left_image, dx, dy, n): the most frequent offset of each image; ties by the smaller offset."""
-    counts = matches.groupBy("image", "dx", "dy").agg(F.count("*").alias("n"))
-    return counts.groupBy("image").agg(F.min(F.struct((-F.col("n")).alias("m"), "dx", "dy")).alias("b")).select("image", "b.dx", "b.dy", (-F.col("b.m")).alias("n"))
+    ``rotations``: quarter turns to try, of images ``width`` x ``height``; a polygon's form is its smallest key over them.
+    """
+    turned = F.array(*(F.struct(G.shape_key(q).alias("key"), F.lit(k).alias("rotation"), q[0].alias("first")) for k in rotations for q in [G.rotate_quarter(F.col(points), width, height, k)]))
+    rows = polygons.select("id", F.array_min(F.transform(turned, lambda t: F.struct(t["key"], t["rotation"], t["first"]))).alias("f"))
+    rows = rows.select("id", F.col("f.key").alias("__key"), F.col("f.rotation").alias("rotation"), F.col("f.first").alias("__at"))
+    heads = rows.groupBy("__key").agg(F.min(F.struct("id", "__at")).alias("h"), F.count("*").alias("n")).select("__key", F.col("h.id").alias("representative"), F.col("h.__at").alias("__to"), "n")
+    return rows.join(heads, "__key").select("id", "representative", "rotation", F.round(F.col("__at.x") - F.col("__to.x"), 2).alias("dx"), F.round(F.col("__at.y") - F.col("__to.y"), 2).alias("dy"), "n")
+
+
+def translation_matches(left: DataFrame, right: DataFrame, points: str = "points", rotations: tuple[int, ...] = (0,), width: Column | float = 0.0, height: Column | float = 0.0, by: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs (by, left_id, right_id, rotation, dx, dy) of polygons of ``left`` that are translations of polygons of ``right`` after some of
+    the quarter turns ``rotations`` of the right image (``width`` x ``height``). All pairs: for the shapes of one film and its crops."""
+    a = left.withColumn("__shape", G.shape_key(F.col(points))).select(*by, "__shape", F.col("id").alias("left_id"), F.col(points)[0].alias("__a"))
+    turned = F.array(*(F.struct(F.lit(k).alias("rotation"), G.shape_key(q).alias("shape"), q[0].alias("first")) for k in rotations for q in [G.rotate_quarter(F.col(points), width, height, k)]))
+    b = right.select(*by, F.col("id").alias("right_id"), F.explode(turned).alias("t")).select(*by, "right_id", "t.rotation", F.col("t.shape").alias("__shape"), F.col("t.first").alias("__b"))
+    both = a.join(b, [*by, "__shape"])
+    return both.select(*by, "left_id", "right_id", "rotation", F.round(F.col("__b.x") - F.col("__a.x"), 2).alias("dx"), F.round(F.col("__b.y") - F.col("__a.y"), 2).alias("dy"))
+
+
+def majority_offset(matches: DataFrame, *turn: str) -> DataFrame:
+    """(image, turn, dx, dy, n): the most frequent offset of each image; ties by the smaller turn and offset."""
+    counts = matches.groupBy("image", *turn, "dx", "dy").agg(F.count("*").alias("n"))
+    best = counts.groupBy("image").agg(F.min(F.struct((-F.col("n")).alias("m"), *turn, "dx", "dy")).alias("b"))
+    return best.select("image", *(f"b.{t}" for t in turn), "b.dx", "b.dy", (-F.col("b.m")).alias("n"))

@@ -294,9 +294,11 @@ def equal_spread(spark, sf):
     return rebalance.views_spread(class_table(spark, sf))
 
 
-@query()
+@query(f"WITH s AS ({_SETS}), c AS (SELECT cls, count(*) AS n FROM (SELECT unnest(classes) AS cls FROM s) GROUP BY cls), t AS (SELECT * FROM (SELECT 'max' AS target, max(n)::DOUBLE AS views FROM c UNION ALL SELECT 'second', n::DOUBLE FROM (SELECT n, row_number() OVER (ORDER BY n DESC) AS k FROM c) WHERE k = 2 UNION ALL SELECT '500', 500.0)) SELECT target, cls, round(views, 0) AS views FROM t CROSS JOIN c")
 def equal_factors(spark, sf):
-    return rebalance.equal_factors(_sets(spark, sf), "max").select("tile", F.round("factor", 9).alias("factor"))
+    """Expected views of every class under the factors for each target: all are the target."""
+    one = lambda how: rebalance.equal_factors(_sets(spark, sf), how).select(F.lit(how).alias("target"), F.explode("classes").alias("cls"), "factor").groupBy("target", "cls").agg(F.round(F.sum("factor"), 0).alias("views"))
+    return one("max").unionByName(one("second")).unionByName(one("500"))
 
 
 @query(f"SELECT array_to_string(classes, '+') AS bucket, count(*) AS n FROM ({_SETS}) GROUP BY 1")
@@ -362,7 +364,12 @@ _RULES_SQL = ", ".join(f"({i}, {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE)" for i, (a
 @query(f"""SELECT rule, sum(n)::BIGINT AS boxes, count(*) AS positive_tiles FROM (SELECT rule, film, x, y, count(*) AS n FROM ({_CLIPPED}) c, (VALUES {_RULES_SQL}) r(rule, a, b, c)
   WHERE bw >= r.a AND bh >= r.a AND (visible >= r.b OR bw * bh >= r.c * side * side) GROUP BY ALL) GROUP BY rule""")
 def rule_sweep(spark, sf):
-    return spatial.rule_sweep(spatial.clipped_boxes(_pairs(spark, sf)), _RULES, ["film", "x", "y"], "cls")
+    return spatial.rule_sweep(spatial.clipped_boxes(_pairs(spark, sf)), _RULES, ["film", "x", "y"])
+
+
+@query(f"SELECT rule, cls, count(*) AS boxes FROM ({_CLIPPED}) c, (VALUES {_RULES_SQL}) r(rule, a, b, c) WHERE bw >= r.a AND bh >= r.a AND (visible >= r.b OR bw * bh >= r.c * side * side) GROUP BY ALL")
+def rule_sweep_classes(spark, sf):
+    return spatial.rule_sweep_classes(spatial.clipped_boxes(_pairs(spark, sf)), _RULES, "cls")
 
 
 @query(f"SELECT film, x, y FROM ({_FLUSH}) t WHERE EXISTS (SELECT 1 FROM ({BOXES}) b WHERE b.film = t.film AND b.x0 >= t.x AND b.x0 < t.x + t.side AND b.y0 >= t.y AND b.y0 < t.y + t.side AND b.cls = 'RF')")
@@ -378,10 +385,10 @@ def shape_clashes(spark, sf):
 
 
 @query(f"""SELECT film, shape, px >= x AND px < x + side AND py >= y AND py < y + side AS inside, distance, x, y FROM (SELECT *, row_number() OVER (PARTITION BY film, shape ORDER BY NOT (px >= x AND px < x + side AND py >= y AND py < y + side), distance, y, x) AS k
-  FROM (SELECT t.*, b.shape, px, py, round(sqrt((px - t.x - t.side / 2.0) * (px - t.x - t.side / 2.0) + (py - t.y - t.side / 2.0) * (py - t.y - t.side / 2.0)), 6) AS distance FROM ({_FLUSH}) t JOIN (SELECT film, shape, min((x0 + x1) / 2) AS px, min((y0 + y1) / 2) AS py FROM ({BOXES}) WHERE cls = 'AF' AND film % 5 = 0 GROUP BY ALL) b USING (film))) WHERE k = 1""")
+  FROM (SELECT t.*, b.shape, px, py, round(sqrt((px - t.x - t.side / 2.0) * (px - t.x - t.side / 2.0) + (py - t.y - t.side / 2.0) * (py - t.y - t.side / 2.0)), 6) AS distance FROM ({_FLUSH}) t JOIN (SELECT film, shape, min((x0 + x1) / 2) AS px, min((y0 + y1) / 2) AS py FROM ({BOXES}) GROUP BY ALL) b USING (film))) WHERE k = 1""")
 def best_window(spark, sf):
     t = tiles.enumerate_tiles(films(spark, sf), FRACTION, OVERLAP, "flush").select("film", "x", "y", "side")
-    points = boxes(spark, sf).where("cls = 'AF' AND film % 5 = 0").groupBy("film", "shape").agg(F.min((F.col("x0") + F.col("x1")) / 2).alias("px"), F.min((F.col("y0") + F.col("y1")) / 2).alias("py"))
+    points = boxes(spark, sf).groupBy("film", "shape").agg(F.min((F.col("x0") + F.col("x1")) / 2).alias("px"), F.min((F.col("y0") + F.col("y1")) / 2).alias("py"))
     return spatial.best_window(t, points)
 
 
@@ -403,22 +410,50 @@ def polygon_measures(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), *(box[c].alias(c) for c in ("x0", "y0", "x1", "y1")), F.round(geometry.polygon_area(q), 6).alias("area"))
 
 
-@query(f"SELECT p_partkey AS id, CASE WHEN px = {_P} + p_size AND py BETWEEN {_P} AND {_P} + 2 * p_size THEN 0 WHEN py = {_P} AND px BETWEEN {_P} AND {_P} + p_size THEN 0 WHEN px > {_P} AND px < {_P} + p_size AND py > {_P} AND py < {_P} + p_size THEN 1 END AS side FROM (SELECT *, {_P} + p_partkey % 11 * p_size / 10.0 AS px, {_P} + p_partkey % 7 * p_size / 8.0 AS py FROM part) WHERE side IS NOT NULL")
-def point_in_polygon(spark, sf):
-    p, s = (F.col("p_partkey") % 50).cast("double"), F.col("p_size").cast("double")
-    px, py = p + F.col("p_partkey") % 11 * s / 10.0, p + F.col("p_partkey") % 7 * s / 8.0
-    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), geometry.point_in_polygon(px, py, _quad()).alias("side"), px.alias("px"), py.alias("py"), p.alias("p"), s.alias("s"))
-    known = ((F.col("px") == F.col("p") + F.col("s")) & F.col("py").between(F.col("p"), F.col("p") + 2 * F.col("s"))) | ((F.col("py") == F.col("p")) & F.col("px").between(F.col("p"), F.col("p") + F.col("s")))
-    inner = (F.col("px") > F.col("p")) & (F.col("px") < F.col("p") + F.col("s")) & (F.col("py") > F.col("p")) & (F.col("py") < F.col("p") + F.col("s"))
-    return rows.where(known | inner).select("id", "side")  # where the closed form of the SQL holds
+_PX, _PY = "({p} + (p_partkey % 17)::DOUBLE * p_size / 12.0::DOUBLE)".format(p=_P), "({p} + (p_partkey % 13)::DOUBLE * p_size / 5.0::DOUBLE)".format(p=_P)
+_AX, _AY, _BX, _BY = "qx[i]", "qy[i]", "qx[i % 4 + 1]", "qy[i % 4 + 1]"
+_ON = f"({_BX} - {_AX}) * (py - {_AY}) - ({_BY} - {_AY}) * (px - {_AX}) = 0 AND px BETWEEN least({_AX}, {_BX}) AND greatest({_AX}, {_BX}) AND py BETWEEN least({_AY}, {_BY}) AND greatest({_AY}, {_BY})"
+_CROSS = f"({_AY} > py) <> ({_BY} > py) AND px < {_AX} + (py - {_AY}) * ({_BX} - {_AX}) / ({_BY} - {_AY})"
 
 
-@query("SELECT a.p_partkey AS left_id, b.p_partkey AS right_id, round((b.p_partkey % 50 + 3 - a.p_partkey % 50)::DOUBLE, 2) AS dx, round((b.p_partkey % 50 + 4 - a.p_partkey % 50)::DOUBLE, 2) AS dy FROM part a JOIN part b ON a.p_size = b.p_size WHERE a.p_partkey % 10 = 0 AND b.p_partkey % 10 = 1")
-def translation_matches(spark, sf):
-    part = table(spark, sf, "part")
-    left = part.where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("id"), _quad().alias("points"))
-    right = part.where("p_partkey % 10 = 1").select(F.col("p_partkey").alias("id"), _quad(3.0, 4.0).alias("points"))
-    return spatial.translation_matches(left, right)
+@query(f"""SELECT id, CASE WHEN len(list_filter(range(1, 5), lambda i: {_ON})) > 0 THEN 0 WHEN len(list_filter(range(1, 5), lambda i: {_CROSS})) % 2 = 1 THEN 1 ELSE -1 END AS side
+FROM (SELECT p_partkey AS id, {_QX} AS qx, {_QY} AS qy, {_PX} AS px, {_PY} AS py FROM part)""")
+def point_in_polygon(spark, sf):
+    p, s = (F.col("p_partkey") % 50).cast("double"), F.col("p_size").cast("double")
+    px, py = p + (F.col("p_partkey") % 17).cast("double") * s / 12.0, p + (F.col("p_partkey") % 13).cast("double") * s / 5.0
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), geometry.point_in_polygon(px, py, _quad()).alias("side"))
+
+
+@query("SELECT p_partkey AS id, r AS representative, 0 AS rotation, (p_partkey % 50 - r % 50)::DOUBLE AS dx, (p_partkey % 50 - r % 50)::DOUBLE AS dy, n FROM (SELECT p_partkey, min(p_partkey) OVER w AS r, count(*) OVER w AS n FROM part WINDOW w AS (PARTITION BY p_size))")
+def translation_classes(spark, sf):
+    return spatial.translation_classes(table(spark, sf, "part").select(F.col("p_partkey").alias("id"), _quad().alias("points")))
+
+
+@query("SELECT p_partkey AS id, min(p_partkey) OVER (PARTITION BY p_size) AS representative, count(*) OVER (PARTITION BY p_size) AS n FROM part")
+def rotation_classes(spark, sf):
+    """Every part's quadrangle turned by its key's quarter turns: turned copies are found again."""
+    turned = F.lit(None)
+    for k in range(4):
+        turned = F.when(F.col("p_partkey") % 4 == k, geometry.rotate_quarter(_quad(), 300.0, 200.0, k)).otherwise(turned)
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), turned.alias("points"))
+    return spatial.translation_classes(rows, rotations=(0, 1, 2, 3), width=300.0, height=200.0).select("id", "representative", "n")
+
+
+@query("SELECT l_orderkey AS image, l_orderkey % 4 AS rotation, (l_orderkey % 7)::DOUBLE AS dx, (l_orderkey % 5)::DOUBLE AS dy, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY l_orderkey")
+def crop_offsets(spark, sf):
+    """Every order as an image with a polygon a line number; its crop is a turned and moved copy, whose turn and offset are found."""
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("image"), F.col("l_linenumber").cast("double").alias("k")).distinct()
+    corner = lambda x, y: F.struct((100 + x).alias("x"), (50 + y).alias("y"))
+    k, zero = F.col("k"), F.lit(0.0)
+    whole = F.array(corner(zero + 9 * k, zero), corner(5 + 12 * k, zero), corner(5 + 12 * k, 1 + 2 * k), corner(9 * k - 1, 2 * k))
+    turned = F.lit(None)
+    for q in range(4):
+        turned = F.when(F.col("image") % 4 == q, geometry.rotate_quarter(whole, 400.0, 300.0, q)).otherwise(turned)
+    moved = F.transform(turned, lambda p: F.struct((p["x"] - F.col("image") % 7).alias("x"), (p["y"] - F.col("image") % 5).alias("y")))
+    left = rows.select("image", F.col("k").alias("id"), moved.alias("points"))
+    right = rows.select("image", F.col("k").alias("id"), whole.alias("points"))
+    found = spatial.translation_matches(left, right, rotations=(0, 1, 2, 3), width=400.0, height=300.0, by=("image",))
+    return spatial.majority_offset(found, "rotation").withColumn("rotation", F.col("rotation").cast("long"))
 
 
 @query(
@@ -579,31 +614,37 @@ def source_rollup(spark, sf):
 
 @query("SELECT DISTINCT a.doc_id AS exposure FROM documents a WHERE a.text IN (SELECT text FROM documents WHERE doc_id % 10 = 0) AND a.doc_id % 10 <> 0")
 def tainted_exposures(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", F.sha1("text").alias("d"))
-    links = docs.groupBy("d").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z")
-    rows = docs.join(links.select("d"), "d")
-    hit = rows.where("doc_id % 10 = 0").select("d").distinct()
-    return rows.join(hit, "d", "left_semi").where("doc_id % 10 <> 0").select(F.col("doc_id").alias("exposure")).distinct()
+    """Copies of validation documents that are not validation documents themselves; groups are (group, exposure) rows."""
+    docs = table(spark, sf, "documents").select("doc_id", F.sha1("text").alias("group")).where("group IS NOT NULL")
+    return groups.tainted(docs.withColumnRenamed("doc_id", "exposure"), table(spark, sf, "documents").where("doc_id % 10 = 0").select(F.col("doc_id").alias("exposure")))
 
 
 @query(
     """SELECT 'labels_known' AS name, (SELECT count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)) AS violations
-UNION ALL SELECT 'parts_disjoint', 0
+UNION ALL SELECT 'parts_disjoint', (SELECT count(DISTINCT user_id) FROM events WHERE event_id % 3 = 0 AND user_id IN (SELECT user_id FROM events WHERE event_id % 5 = 0))
 UNION ALL SELECT 'orders_have_customers', (SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer))
-UNION ALL SELECT 'merge_grew', 0
+UNION ALL SELECT 'merge_grew', (SELECT (a + b <> c)::INT FROM (SELECT (SELECT count(*) FROM events WHERE event_id % 3 = 0) AS a, (SELECT count(*) FROM events WHERE event_id % 5 = 0) AS b, (SELECT count(*) FROM events WHERE event_id % 3 = 0 OR event_id % 5 = 0) AS c))
+UNION ALL SELECT 'rows_differ', (SELECT count(*) FROM events WHERE event_id % 7 = 0 AND event_type IS NOT NULL)
+UNION ALL SELECT 'counts_differ', (SELECT count(*) FROM (SELECT event_type FROM events GROUP BY event_type HAVING count(*) % 2 = 1))
+UNION ALL SELECT 'arms_differ', (SELECT count(*) FROM (SELECT event_type FROM events GROUP BY event_type HAVING count(*) FILTER (event_id % 2 = 0 AND value > 50) <> count(*) FILTER (event_id % 2 = 1 AND value > 50)))
 UNION ALL SELECT 'polarity', (SELECT count(*) FROM (SELECT n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name HAVING count(o_totalprice) >= 20 AND avg((o_totalprice > 100000)::INT) < 0.8))"""
 )
 def constraint_report(spark, sf):
     docs, labels, orders = (table(spark, sf, t) for t in ("documents", "labels", "orders"))
-    parts = sampling.split_random(table(spark, sf, "events").select("event_id"), 0.1, 7, "event_id")
-    val, train = parts.where("part = 'val'"), parts.where("part = 'train'")
+    events = table(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
+    third, fifth, either = events.where("event_id % 3 = 0"), events.where("event_id % 5 = 0"), events.where("event_id % 3 = 0 OR event_id % 5 = 0")
+    typed = events.where("event_type IS NOT NULL").select("event_id", "event_type")
+    even = events.groupBy("event_type").agg((F.count("*") - F.count("*") % 2).alias("n"))
     c = table(spark, sf, "customer").join(F.broadcast(table(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("o_custkey"), "n_name")
     return constraints.report(
         [
             constraints.all_in(labels, docs, "doc_id", "labels_known"),
-            constraints.disjoint(val, train, "event_id", "parts_disjoint"),
+            constraints.disjoint(third, fifth, "user_id", "parts_disjoint"),
             constraints.all_in(orders, c, "o_custkey", "orders_have_customers"),
-            constraints.grew_by(train, parts, val, "merge_grew"),
+            constraints.grew_by(third, either, fifth, "merge_grew"),
+            constraints.same_rows(typed, typed.where("event_id % 7 <> 0"), "rows_differ"),
+            constraints.same_count(events, even, "event_type", "counts_differ"),
+            constraints.arms_equal(events.withColumn("arm", F.col("event_id") % 2).withColumn("keep", F.col("value") > 50), "arm", "event_type", "keep", "arms_differ"),
             constraints.polarity_gate(orders.join(c, "o_custkey").withColumn("darker", F.col("o_totalprice") > 100000), "n_name", "darker"),
         ]
     )
@@ -636,11 +677,11 @@ def strip_profile(spark, sf):
     return rows.select("vec_id", F.col("r").cast("long").alias("r"), F.round("m", 6).alias("med"))
 
 
-@query("SELECT vec_id, round(min(c), 6) AS score FROM (SELECT a.vec_id, a.i // 16 AS s, corr(a.v, b.v) AS c FROM (SELECT vec_id, unnest(range(0, 64)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings) a JOIN (SELECT unnest(range(0, 64)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings WHERE vec_id = 0) b USING (i) WHERE i < 48 GROUP BY ALL) GROUP BY vec_id")
+@query("SELECT vec_id, round(min(c), 6) AS score FROM (SELECT a.vec_id, a.i // 16 AS s, corr(a.v, b.v) AS c FROM (SELECT vec_id, unnest(range(0, 64)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings) a JOIN (SELECT unnest(range(0, 64)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings WHERE vec_id = 0) b USING (i) GROUP BY ALL) GROUP BY vec_id")
 def profile_ncc(spark, sf):
     rows = table(spark, sf, "embeddings")
     target = rows.where("vec_id = 0").select(_e().alias("t"))
-    return rows.crossJoin(F.broadcast(target)).select("vec_id", F.round(arrays.worst_slice_score(_e(), F.col("t"), 3, 16), 6).alias("score"))  # one target row
+    return rows.crossJoin(F.broadcast(target)).select("vec_id", F.round(arrays.worst_slice_score(_e(), F.col("t"), 4, 16), 6).alias("score"))  # one target row
 
 
 @query(f"SELECT vec_id, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std FROM (SELECT vec_id, unnest({_E}) AS v FROM embeddings) GROUP BY ALL")
@@ -659,15 +700,22 @@ def mask_iou(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.round(arrays.mask_iou(F.transform(_e(), lambda v: v > 0), F.transform(_e(), lambda v: v > 0.1)), 6).alias("iou"))
 
 
-@query(f"SELECT vec_id, list_sum(list_transform(range(1, 65), lambda i: e[i] * i)) IS NOT NULL AS ok, round(e[1 + 8 * 3 + 2], 6) AS first, round(e[8 * 7 + 1], 6) AS below, round(e[8], 6) AS beside FROM (SELECT vec_id, {_E} AS e FROM embeddings)")
+_AT = "e[1 + 8 * (i // 4 + 3) + i % 4 + 2]"
+
+
+@query(f"""SELECT vec_id, round(list_sum(list_transform(range(0, 16), lambda i: {_AT} * (i + 1))), 6) AS cropped, round(list_sum(list_transform(range(0, 64), lambda i: e[1 + 8 * (7 - i // 8) + i % 8] * (i + 1))), 6) AS below,
+  round(list_sum(list_transform(range(0, 64), lambda i: e[1 + 8 * (i // 8) + 7 - i % 8] * (i + 1))), 6) AS beside, round(list_sum(list_transform(range(0, 60), lambda i: e[1 + 8 * ((i // 12) * 8 // 5) + (i % 12) * 8 // 12] * (i + 1))), 6) AS resized
+  FROM (SELECT vec_id, {_E} AS e FROM embeddings)""")
 def crop_and_flip(spark, sf):
+    """Every pixel of the results counts with its place."""
     e = _e()
+    total = lambda v: F.round(F.aggregate(F.transform(v, lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x), 6)
     return table(spark, sf, "embeddings").select(
         "vec_id",
-        (F.size(arrays.crop(e, 8, F.lit(2), F.lit(3), 4)) == 16).alias("ok"),
-        F.round(arrays.crop(e, 8, F.lit(2), F.lit(3), 4)[0], 6).alias("first"),
-        F.round(arrays.flip_rows(e, 8, 8)[0], 6).alias("below"),
-        F.round(arrays.flip_columns(e, 8, 8)[0], 6).alias("beside"),
+        total(arrays.crop(e, 8, F.lit(2), F.lit(3), 4)).alias("cropped"),
+        total(arrays.flip_rows(e, 8, 8)).alias("below"),
+        total(arrays.flip_columns(e, 8, 8)).alias("beside"),
+        total(arrays.resize_nearest(e, 8, 8, 5, 12)).alias("resized"),
     )
 
 
@@ -734,9 +782,9 @@ def missing_by_source(spark, sf):
     return selection.missing_by_source(selection.two_hop(keys, stems, inventory))
 
 
-@query("SELECT tile, cls FROM (SELECT l_orderkey AS tile, l_returnflag || l_linestatus AS cls, l_partkey AS p, l_suppkey AS s, l_quantity AS q FROM lineitem WHERE l_linenumber = 1) a WHERE EXISTS (SELECT 1 FROM (SELECT l_orderkey AS tile, l_partkey AS p, l_suppkey AS s, l_quantity + l_orderkey % 2 AS q FROM lineitem WHERE l_linenumber = 1) b WHERE a.tile = b.tile AND a.p = b.p AND a.s = b.s AND a.q = b.q)")
+@query("SELECT tile, cls FROM (SELECT l_orderkey AS tile, l_returnflag || l_linestatus AS cls, l_partkey AS p, l_suppkey AS s, l_quantity AS q FROM lineitem) a WHERE EXISTS (SELECT 1 FROM (SELECT l_orderkey AS tile, l_partkey AS p, l_suppkey AS s, l_quantity + l_orderkey % 2 AS q FROM lineitem) b WHERE a.tile = b.tile AND a.p = b.p AND a.s = b.s AND a.q = b.q)")
 def arm_pairs(spark, sf):
-    l = table(spark, sf, "lineitem").where("l_linenumber = 1")  # noqa: E741
+    l = table(spark, sf, "lineitem")  # noqa: E741
     base = [F.col("l_orderkey").alias("uid"), F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("top")]
     left = l.select(*base, F.col("l_quantity").alias("left"), F.concat("l_returnflag", "l_linestatus").alias("cls"))
     right = l.select(*base, (F.col("l_quantity") + F.col("l_orderkey") % 2).alias("left"))
