@@ -32,7 +32,7 @@ from tilewright.llm.minhash_dedup import mix
 from tilewright.llm.token_counts import model_path
 
 ALPHA = 1.0
-BLOCK = 700_000
+BLOCK = 500_000
 CACHE = 120_000  # units whose lattices a worker keeps
 FILTER_BITS = 22
 
@@ -317,4 +317,5 @@ def decode(rows: DataFrame, keep: tuple[str, ...] = ("doc_id",), ids_col: str =
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(C.documents(spark, sf_dir))
+    """Digests of the ids; ``lossless`` comes from decoding them."""
+    return encode(C.documents(spark, sf_dir), with_ids=False).drop("piece_ids")
