@@ -74,7 +74,7 @@ def test_zip(spark, tmp_path):
     broken[members[1]["place"] + 30 + len("x/two.txt")] ^= 1
     with pytest.raises(ValueError, match="two"):
         formats.zip_member(bytes(broken), members[1])
-    assert len(formats.spans(members, 1 << 20)) == 1 and len(formats.spans([{"place": 0, "name": "a", "packed": 5}, {"place": 10**7, "name": "b", "packed": 5}], 100)) == 2
+
 
 
 def test_writers(spark, tmp_path):

@@ -122,6 +122,12 @@ def flip_columns(values: Column, height: int, width: int) -> Column:
     return F.flatten(_rows(values, height, width, F.reverse))
 
 
+def quarter_turn(values: Column, height: int, width: int) -> Column:
+    """A flat raster turned counter-clockwise, then ``width`` x ``height``."""
+    at = lambda i: F.pmod(i, F.lit(height)) * width + (width - 1 - F.floor(i / height))
+    return let(values, lambda v: F.transform(F.sequence(F.lit(0), F.lit(height * width - 1)), lambda i: F.get(v, at(i).cast("int"))))
+
+
 def crop(values: Column, width: int, x: Column, y: Column, side: int) -> Column:
     """The ``side`` x ``side`` window at (x, y) of a flat raster of ``width`` columns."""
     cut = lambda v: F.transform(F.sequence(F.lit(0), F.lit(side - 1)), lambda r: F.slice(v, ((y + r) * width + x + 1).cast("int"), F.lit(side)))

@@ -456,3 +456,100 @@ def across_weld(points: np.ndarray, centre: float, half_width: float) -> float:
     """The across-weld place of a polygon's middle: 0 on the centre line, 1 on the toe."""
     p = np.asarray(points, float)
     return float(((p[:, 1].min() + p[:, 1].max()) / 2 - centre) / half_width)
+
+
+def dilate(mask: np.ndarray, r: int) -> np.ndarray:
+    """The mask grown by a square of 2 r + 1 pixels."""
+    out = mask
+    for axis in (0, 1):
+        wide = np.pad(out, [(r, r) if a == axis else (0, 0) for a in (0, 1)]).astype(np.int32)
+        total = np.cumsum(np.insert(wide, 0, 0, axis=axis), axis=axis)
+        n = mask.shape[axis]
+        out = np.take(total, np.arange(2 * r + 1, n + 2 * r + 1), axis) > np.take(total, np.arange(n), axis)
+    return out
+
+
+def _around(image: np.ndarray, points: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """The image around a polygon, the polygon's mask in it, and its corner (x, y)."""
+    p = np.asarray(points, float)
+    (x0, y0), (x1, y1) = np.maximum(np.floor(p.min(0)).astype(int) - pad, 0), np.ceil(p.max(0)).astype(int) + pad + 1
+    crop = np.asarray(image[y0:y1, x0:x1], float)
+    return crop, fill_polygon(np.rint(p - [x0, y0]), *crop.shape), int(x0), int(y0)
+
+
+def local_cnr(image: np.ndarray, points: np.ndarray, inner: int = 3, outer: int = 9, pad: int = 60) -> float:
+    """(Median of the ring ``inner`` to ``outer`` pixels around a polygon - mean inside) / grain of what is not near the polygon."""
+    crop, mask, _, _ = _around(image, points, pad)
+    near = dilate(mask, inner)
+    ring = dilate(mask, outer) & ~near
+    if not ring.any() or not mask.any():
+        return float("nan")
+    return float((np.median(crop[ring]) - crop[mask].mean()) / max(grain(crop, near), 1e-9))
+
+
+def pore_dip(image: np.ndarray, points: np.ndarray, others: np.ndarray | None = None, inner: int = 2, outer: int = 8, least: int = 5, ring_least: int = 20) -> tuple[float, float] | None:
+    """(background, dip) of a pore: the median of the ring around it without other shapes, and that less the mean inside. None for a
+    pore or ring of too few pixels, or one that is not darker than its ring."""
+    crop, mask, x0, y0 = _around(image, points, outer + 2)
+    ring = dilate(mask, outer) & ~dilate(mask, inner)
+    if others is not None:
+        ring &= ~others[y0 : y0 + crop.shape[0], x0 : x0 + crop.shape[1]]
+    if mask.sum() < least or ring.sum() < ring_least:
+        return None
+    back = float(np.median(crop[ring]))
+    dip = back - float(crop[mask].mean())
+    return (back, dip) if dip > 0 and back > 0 else None
+
+
+def keep_out(height: int, width: int, shapes: list[np.ndarray], grow: int, windows: list[tuple[int, int, int]]) -> np.ndarray:
+    """Where nothing may be put: the shapes grown by ``grow`` pixels, and the windows (x, y, side)."""
+    out = np.zeros((height, width), bool)
+    for p in shapes:
+        out |= fill_polygon(np.rint(np.asarray(p, float)), height, width)
+    out = dilate(out, grow) if out.any() else out
+    for x, y, side in windows:
+        out[max(0, y) : y + side, max(0, x) : x + side] = True
+    return out
+
+
+def masks_clash(a: np.ndarray, b: np.ndarray, grow: int) -> bool:
+    """Whether polygon ``b`` has a pixel within ``grow`` pixels of polygon ``a``."""
+    a, b = np.rint(np.asarray(a, float)), np.rint(np.asarray(b, float))
+    low = np.minimum(a.min(0), b.min(0)) - grow - 2
+    width, height = (np.maximum(a.max(0), b.max(0)) - low + grow + 3).astype(int)
+    return bool((dilate(fill_polygon(a - low, height, width), grow) & fill_polygon(b - low, height, width)).any())
+
+
+def cut(film: np.ndarray, turns: int, x: int, y: int, height: int, width: int) -> np.ndarray:
+    """A crop of a film after quarter turns counter-clockwise; an error if it leaves the film."""
+    image = np.rot90(film, turns)
+    if x < 0 or y < 0 or y + height > image.shape[0] or x + width > image.shape[1]:
+        raise ValueError(f"the crop ({x}, {y}, {width} x {height}) leaves the film {image.shape}")
+    return image[y : y + height, x : x + width]
+
+
+def compare_cut(film: np.ndarray, turns: int, x: int, y: int, crop: np.ndarray) -> str:
+    """How a stored crop differs from what its place in the film gives: exact, or the number of pixels, or what is wrong."""
+    try:
+        own = cut(film, turns, x, y, *crop.shape)
+    except ValueError as e:
+        return f"bad offset: {e}"
+    n = int(np.count_nonzero(own != crop))
+    return "exact" if not n else f"{n} px differ"
+
+
+def rederived(points: np.ndarray, x: int, y: int, side: int, eps: float = 0.0, **rule) -> dict | None:
+    """What tracing a kept polygon in a window gives: its pieces, vertices, the overlap of the traced polygon filled again with
+    the mask, and the largest distance of its box from the mask's; None if the keep rule drops it."""
+    if kept_box(points, x, y, side, **rule) is None:
+        return None
+    mask = visible_mask(points, x, y, side)
+    box, pieces = mask_box(mask), trace(mask)
+    line = pieces[0]
+    for piece in pieces[1:]:
+        line = merge(line, piece)
+    line = simplify(line, eps)
+    again = fill_polygon(line, side, side)
+    (px0, py0), (px1, py1) = line.min(0), line.max(0)
+    away = max(abs(px0 - box[0]), abs(py0 - box[1]), abs(px1 - (box[2] - 1)), abs(py1 - (box[3] - 1)))
+    return {"pieces": len(pieces), "vertices": len(line), "iou": float((again & mask).sum() / (again | mask).sum()), "deviation": float(away)}

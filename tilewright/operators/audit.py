@@ -105,3 +105,18 @@ def with_fallback(df: DataFrame, *sources: str) -> DataFrame:
     """``df`` with seam and seam_source: the first non-null of the columns ``sources``, and its name."""
     tag = F.coalesce(*(F.when(F.col(c).isNotNull(), F.lit(c)) for c in sources))
     return df.withColumn("seam", F.coalesce(*sources)).withColumn("seam_source", tag)
+
+
+def tile_bands(tiles: DataFrame, part: str = "part") -> DataFrame:
+    """Of each part's checked tiles (side, std, saturated, n_boxes): how many there are, are under 160 or over 640 pixels, flat, over 30 %
+    saturated, with boxes; boxes in all and the most of one tile."""
+    return tiles.groupBy(part).agg(
+        F.count("*").alias("tiles"), F.count_if(F.col("side") < 160).alias("small"), F.count_if(F.col("side") > 640).alias("large"), F.count_if(F.col("std") < 2).alias("flat"),
+        F.count_if(F.col("saturated") > 0.30).alias("saturated"), F.count_if(F.col("n_boxes") > 0).alias("positive"), F.sum("n_boxes").alias("boxes"), F.max("n_boxes").alias("most_boxes"),
+    )
+
+
+def cut_shares(boxes: DataFrame, cls: str, cut: str) -> DataFrame:
+    """Of each class the boxes, those that a tile's edge cuts, and their share."""
+    out = boxes.groupBy(cls).agg(F.count("*").alias("boxes"), F.count_if(F.col(cut)).alias("cut"))
+    return out.withColumn("share", F.round(F.col("cut") / F.col("boxes"), 6))

@@ -56,6 +56,18 @@ def arms_equal(df: DataFrame, arm: str, bucket: str, keep: str, name: str) -> Da
     return _row(per.groupBy(bucket).agg(F.min("n").alias("lo"), F.max("n").alias("hi")).where("lo <> hi"), name)
 
 
+def empty_labels(labels: DataFrame, selected: int, trimmed: int, name: str = "null tiles as selected", text: str = "label_text") -> DataFrame:
+    """Whether as many labels are blank as null tiles were selected, less those trimmed."""
+    n = labels.agg(F.count_if(F.trim(F.regexp_replace(text, r"\s", "")) == "").alias("n"))
+    return _row(n.where(F.col("n") != selected - trimmed), name)
+
+
+def rows_as_reported(rows: DataFrame, report: DataFrame, name: str = "rows as reported") -> DataFrame:
+    """Whether a report's counts (n) add up to the number of rows."""
+    one = rows.agg(F.count("*").alias("a")).crossJoin(report.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("b")))  # two single rows
+    return _row(one.where("a <> b"), name)
+
+
 def report(checks: Iterable[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionAll, checks)
 

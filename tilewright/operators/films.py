@@ -85,3 +85,126 @@ def instance_contrasts(films: DataFrame, least: int = 4, ring: int = 5) -> DataF
             yield pd.DataFrame(rows, columns=["stem", "instance", "contrast"]).astype({"instance": "int64", "contrast": "float64"})
 
     return films.select("stem", "height", "width", "pixels", "mask").mapInPandas(run, "stem string, instance long, contrast double")
+
+
+def _image(r, name: str = "pixels") -> np.ndarray:
+    return np.asarray(getattr(r, name), float).reshape(r.height, r.width)
+
+
+def _points(points) -> np.ndarray:
+    return np.array([(p["x"], p["y"]) for p in points], float).reshape(-1, 2)
+
+
+def _by_row(df: DataFrame, columns: list[str], row, schema: str) -> DataFrame:
+    """``row`` of each row of ``df``: a tuple or None, in Arrow batches."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(frames):
+        for f in frames:
+            out = [x for x in map(row, f.itertuples(index=False)) if x is not None]
+            yield pd.DataFrame({n: pd.Series([x[i] for x in out], dtype=object) for i, n in enumerate(names)})
+
+    return df.select(*columns).mapInPandas(run, schema)
+
+
+def local_contrasts(shapes: DataFrame, **options) -> DataFrame:
+    """(film, shape, cnr) of shapes (film, shape, points, height, width, pixels around them); null without a ring."""
+
+    def row(r):
+        v = raster.local_cnr(_image(r), _points(r.points), **options)
+        return r.film, r.shape, None if np.isnan(v) else v
+
+    return _by_row(shapes, ["film", "shape", "points", "height", "width", "pixels"], row, "film string, shape string, cnr double")
+
+
+def pore_dips(shapes: DataFrame, **options) -> DataFrame:
+    """(film, shape, background, dip) of pores (as for ``local_contrasts``, with others: the film's other shapes as a flat mask, or null);
+    pores without a measurable dip have no row."""
+
+    def row(r):
+        others = None if r.others is None else np.asarray(r.others, bool).reshape(r.height, r.width)
+        found = raster.pore_dip(_image(r), _points(r.points), others, **options)
+        return (r.film, r.shape, *found) if found else None
+
+    return _by_row(shapes, ["film", "shape", "points", "height", "width", "pixels", "others"], row, "film string, shape string, background double, dip double")
+
+
+def keep_out_areas(films: DataFrame, grow: int) -> DataFrame:
+    """(film, blocked, free): pixels where nothing may be put, and the others. ``films``: film, height, width, shapes (array of
+    polygons), windows array<struct<x, y, side>>."""
+
+    def row(r):
+        mask = raster.keep_out(r.height, r.width, [_points(p) for p in r.shapes], grow, [(w["x"], w["y"], w["side"]) for w in r.windows])
+        return r.film, int(mask.sum()), int((~mask).sum())
+
+    return _by_row(films, ["film", "height", "width", "shapes", "windows"], row, "film string, blocked long, free long")
+
+
+def mask_clashes(pairs: DataFrame, grow: int) -> DataFrame:
+    """(film, shape, other) of pairs with points and other_points whose masks come within ``grow`` pixels; pairs come from a box join."""
+
+    def row(r):
+        return (r.film, r.shape, r.other) if raster.masks_clash(_points(r.points), _points(r.other_points), grow) else None
+
+    return _by_row(pairs, ["film", "shape", "other", "points", "other_points"], row, "film string, shape string, other string")
+
+
+def compare_crops(crops: DataFrame) -> DataFrame:
+    """(film, status) of crops (film, height, width, pixels; turns, x, y; crop_height, crop_width, crop): exact, the number of pixels that
+    differ, or what is wrong with the place."""
+
+    def row(r):
+        own = np.asarray(r.crop, float).reshape(r.crop_height, r.crop_width)
+        return r.film, raster.compare_cut(_image(r), r.turns, r.x, r.y, own)
+
+    return _by_row(crops, ["film", "height", "width", "pixels", "turns", "x", "y", "crop_height", "crop_width", "crop"], row, "film string, status string")
+
+
+def rederivation(pairs: DataFrame, warn: float = 0.8, **options) -> DataFrame:
+    """(tile, instances, multi_piece, vertices, low_iou, deviation) of polygon-window pairs (tile, points, x, y, side) that the keep
+    rule accepts: how well their traced polygons give the masks back."""
+    from pyspark.sql import functions as F
+
+    def row(r):
+        found = raster.rederived(_points(r.points), r.x, r.y, r.side, **options)
+        return (r.tile, found["pieces"], found["vertices"], found["iou"], found["deviation"]) if found else None
+
+    each = _by_row(pairs, ["tile", "points", "x", "y", "side"], row, "tile string, pieces int, vertices int, iou double, deviation double")
+    return each.groupBy("tile").agg(F.count("*").alias("instances"), F.count_if(F.col("pieces") > 1).alias("multi_piece"), F.sum("vertices").alias("vertices"), F.count_if(F.col("iou") < warn).alias("low_iou"), F.max("deviation").alias("deviation"))
+
+
+def polygon_pixels(shapes: DataFrame) -> DataFrame:
+    """(id, filled, visible): pixels of a polygon on a canvas height x width, and of it in the window (x, y, side)."""
+
+    def row(r):
+        seen = raster.visible_mask(_points(r.points), r.x, r.y, r.side)
+        return r.id, int(raster.fill_polygon(_points(r.points), r.height, r.width).sum()), 0 if seen is None else int(seen.sum())
+
+    return _by_row(shapes, ["id", "points", "height", "width", "x", "y", "side"], row, "id long, filled long, visible long")
+
+
+def raster_round_trip(shapes: DataFrame, eps: float) -> DataFrame:
+    """(id, value, vertices, area, pixels) of shapes (id, height, width, polygons array<struct<points, value>>) drawn into one class raster
+    and traced out of it again, the contours simplified by ``eps``."""
+
+    def run(frames):
+        for f in frames:
+            out = []
+            for r in f.itertuples(index=False):
+                image = raster.class_raster([(_points(p["points"]), p["value"]) for p in r.polygons], r.height, r.width)
+                for value, line in raster.raster_shapes(image):
+                    simple = raster.simplify(line, eps)
+                    out.append((r.id, value, len(simple), raster.area(simple), int((image == value).sum())))
+            yield pd.DataFrame(out, columns=["id", "value", "vertices", "area", "pixels"])
+
+    return shapes.select("id", "height", "width", "polygons").mapInPandas(run, "id long, value int, vertices int, area double, pixels long")
+
+
+def array_kernel(rows: DataFrame, kernel, key: str = "id", value: str = "pixels") -> DataFrame:
+    """(key, pixels) of ``kernel`` over each row's flat array: for the numpy kernels that work on one raster at a time."""
+
+    def run(frames):
+        for f in frames:
+            yield pd.DataFrame({key: f[key], "pixels": [np.asarray(kernel(np.asarray(v, float)), float).ravel() for v in f[value]]})
+
+    return rows.select(key, value).mapInPandas(run, f"{rows.select(key).schema.simpleString()[7:-1].replace(':', ' ', 1)}, pixels array<double>")

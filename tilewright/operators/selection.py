@@ -83,6 +83,14 @@ def null_tiles(windows: DataFrame, centres: DataFrame, inserted: DataFrame, hold
     return out.withColumn("kind", F.when(F.col("has_box"), "boxed").otherwise(F.coalesce("kind", F.lit("null"))))
 
 
+def film_host_tiles(windows: DataFrame, centres: DataFrame) -> DataFrame:
+    """Windows of host films that hold the centre of a polygon inserted into an implanted film; ``centres`` (film, px, py) name the
+    implanted film, whose id holds its host's."""
+    from tilewright.functions.labels import host_of
+
+    return spatial.windows_with_point(windows, centres.select(host_of(F.col("film")).alias("film"), "px", "py"))
+
+
 def balanced_parts(windows: DataFrame, part: str, seed: int, *ids: str) -> DataFrame:
     """Windows with a class above 0 and, of each part, as many clean ones by draw."""
     rows = windows.withColumn("__pos", F.exists("classes", lambda c: c > 0))
@@ -151,3 +159,38 @@ def retry_rounds(pending: DataFrame, attempt: Callable[[DataFrame, int], DataFra
         if pending.isEmpty():
             break
     return done, pending
+
+
+def at_least_median(df: DataFrame, by: str, value: str) -> DataFrame:
+    """Rows whose value is at least the median of their group."""
+    mid = df.groupBy(by).agg(F.median(value).alias("__mid"))
+    return df.join(mid, by).where(F.col(value) >= F.col("__mid")).drop("__mid")
+
+
+def union_of_shapes(host: DataFrame, inserted: DataFrame) -> DataFrame:
+    """(film, shapes): a host's shapes, then the inserted ones; a film with either has a row. Both: film, shapes (one array a film)."""
+    none = F.slice("shapes", 1, 0)
+    both = host.select("film", "shapes").join(inserted.select("film", F.col("shapes").alias("__new")), "film", "full")
+    return both.select("film", F.concat(F.coalesce("shapes", F.slice("__new", 1, 0)), F.coalesce("__new", none)).alias("shapes"))
+
+
+def standalone_test(tiles: DataFrame, test: DataFrame, key: str = "tile_id") -> DataFrame:
+    """The tiles on the test list, whichever part holds them, as part test."""
+    return tiles.join(test.select(key), key, "left_semi").withColumn("part", F.lit("test"))
+
+
+def standalone_test_checks(tiles: DataFrame, test: DataFrame, split: DataFrame, boxes: DataFrame, expected: DataFrame, key: str = "tile_id", cls: str = "cls") -> list[DataFrame]:
+    """What must hold of a test set: all its tiles are there, none is a train or val tile of ``split`` (key, part), and its boxes
+    (key, cls) count by class as the report ``expected`` (cls, n) says."""
+    own = boxes.join(test.select(key), key, "left_semi")
+    return [
+        constraints.all_in(test, tiles, key, "test tiles are there"),
+        constraints.disjoint(test, split.where("part = 'val'"), key, "no val tile"),
+        constraints.disjoint(test, split.where("part = 'train'"), key, "no train tile"),
+        constraints.same_count(own, expected, cls, "boxes as reported"),
+    ]
+
+
+def not_rendered(tiles: DataFrame, manifest: DataFrame, key: str = "tile_id", digest: str = "digest") -> DataFrame:
+    """Tiles that no earlier run has rendered from the same bytes: those of ``manifest`` (key, digest) are reused."""
+    return tiles.join(manifest.select(key, digest), [key, digest], "left_anti")

@@ -69,25 +69,29 @@ def fixed_effect_ols(df: DataFrame, group: str, y: str, x1: str, x2: str) -> Dat
     return solve(total).select("n", F.round("b1", 6).alias("b1"), F.round("b2", 6).alias("b2"))
 
 
-def bootstrap_ols(df: DataFrame, group: str, y: str, x1: str, x2: str, draws: int = 500, seed: int = 0) -> DataFrame:
-    """2.5 and 97.5 % points of the first coefficient when whole groups are drawn with replacement.
+def bootstrap_draws(df: DataFrame, group: str, y: str, x1: str, x2: str, draws: int = 500, seed: int = 0) -> DataFrame:
+    """(draw, n, b1, b2): the regression on as many groups as there are, drawn with replacement, ``draws`` times.
 
-    As moments add up over groups, a draw is a set of weights. Each group gets Poisson(1) weights from its own draw keys (the
-    limit of drawing with replacement for many groups), so no draw needs all groups in one place: groups are exploded by draw
-    and summed.
+    As moments add up over groups, a draw needs each group's sums and how often it was drawn, never its rows. Every place of a draw
+    takes the group at floor(u * groups), u being a hash of the draw and the place; places are counted by (draw, group) before they
+    meet the sums, so no draw needs all groups in one place.
     """
+    from tilewright.functions import prefix
     from tilewright.functions.scalars import uniform
 
-    rows = moments(df, group, y, x1, x2).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    u = uniform(seed, F.col(group), F.col("draw"))
-    cuts, p, total = [], 0.36787944117144233, 0.0
-    for k in range(10):  # the distribution function of Poisson(1)
-        total += p
-        cuts.append(total)
-        p /= k + 1
-    weight = sum(((u >= c).cast("int") for c in cuts[1:]), (u >= cuts[0]).cast("int"))
-    sums = rows.withColumn("__w", weight).groupBy("draw").agg(*(F.sum(F.col(c) * F.col("__w")).alias(c) for c in _SUMS))
-    return solve(sums).agg(F.percentile("b1", 0.025).alias("low"), F.percentile("b1", 0.975).alias("high"), F.count("b1").alias("draws"))
+    sums = moments(df, group, y, x1, x2)
+    numbered = prefix.draw_rank(sums.withColumn("__d", F.sha2(F.concat(F.lit(f"{seed}|"), F.col(group).cast("string")), 256)), "__d", "__at")
+    total = df.where(F.col(group).isNotNull()).agg(F.count_distinct(group).alias("__g"))
+    places = total.select("__g", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).repartition("draw").withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), "__g")))
+    picks = places.select("draw", F.floor(uniform(seed, F.col("draw"), F.col("__k")) * F.col("__g")).cast("long").alias("__at"))
+    times = picks.groupBy("draw", "__at").agg(F.count("*").alias("__w"))
+    added = times.join(numbered.withColumn("__at", F.col("__at").cast("long")), "__at").groupBy("draw").agg(*(F.sum(F.col(c) * F.col("__w")).alias(c) for c in _SUMS))
+    return solve(added).select("draw", "n", "b1", "b2")
+
+
+def bootstrap_ols(df: DataFrame, group: str, y: str, x1: str, x2: str, draws: int = 500, seed: int = 0) -> DataFrame:
+    """2.5 and 97.5 % points of the first coefficient when whole groups are drawn with replacement."""
+    return bootstrap_draws(df, group, y, x1, x2, draws, seed).agg(F.percentile("b1", 0.025).alias("low"), F.percentile("b1", 0.975).alias("high"), F.count("b1").alias("draws"))
 
 
 def binned_mean(df: DataFrame, x: str, y: str, ties: list[str], bins: int = 25, by: tuple[str, ...] = ()) -> DataFrame:

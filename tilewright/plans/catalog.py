@@ -2,34 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.functions import arrays, geometry
 from tilewright.functions import scalars as S
 from tilewright.operators import audit, constraints, groups, rebalance, sampling, selection, spatial, statistics, tiles, windows
 from tilewright.operators import films as film_ops
+from tilewright.plans import exchange, kernels, rows  # noqa: F401  they register their queries
 from tilewright.plans.inputs import BOXES, FILMS, FRACTION, GRID, OVERLAP, axis, boxes, films, table, tiles_sql
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None, name: str | None = None):
-    """Register a query under its function's name."""
-
-    def add(f: Query) -> Query:
-        key = name or f.__name__
-        QUERIES[key] = f
-        if sql:
-            SQL[key] = sql
-        return f
-
-    return add
-
+from tilewright.plans.registry import QUERIES, SQL, query  # noqa: F401
 
 # tiles
 
@@ -507,9 +488,16 @@ def fe_ols(spark, sf):
     return statistics.fixed_effect_ols(table(spark, sf, "lineitem"), "l_suppkey", "l_extendedprice", "l_quantity", "l_discount").withColumn("n", F.col("n").cast("long"))
 
 
-@query()
-def bootstrap_ci(spark, sf):
-    return statistics.bootstrap_ols(table(spark, sf, "lineitem"), "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", draws=200)
+@query(
+    """WITH d AS (SELECT l_suppkey AS g, l_extendedprice - avg(l_extendedprice) OVER w AS y, l_quantity - avg(l_quantity) OVER w AS a, l_discount - avg(l_discount) OVER w AS b FROM lineitem WINDOW w AS (PARTITION BY l_suppkey)),
+m AS (SELECT g, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * y) AS ay, sum(b * y) AS byy, count(*) AS n, row_number() OVER (ORDER BY sha256('3|' || g)) - 1 AS pos FROM d GROUP BY g),
+p AS (SELECT draw, floor(('0x' || substr(sha256('3|' || draw || '|' || k), 1, 8))::BIGINT / 4294967296.0::DOUBLE * (SELECT count(*) FROM m))::BIGINT AS pos FROM (SELECT unnest(range(1, 101)) AS draw), (SELECT unnest(range(1, (SELECT count(*) FROM m) + 1)) AS k)),
+s AS (SELECT draw, sum(n)::BIGINT AS n, sum(aa) AS aa, sum(ab) AS ab, sum(bb) AS bb, sum(ay) AS ay, sum(byy) AS byy FROM p JOIN m USING (pos) GROUP BY draw)
+SELECT draw, n, round((ay * bb - byy * ab) / (aa * bb - ab * ab), 5) AS b1, round((byy * aa - ay * ab) / (aa * bb - ab * ab), 4) AS b2 FROM s"""
+)
+def bootstrap_draws(spark, sf):
+    out = statistics.bootstrap_draws(table(spark, sf, "lineitem"), "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", draws=100, seed=3)
+    return out.select(F.col("draw").cast("long").alias("draw"), "n", F.round("b1", 5).alias("b1"), F.round("b2", 4).alias("b2"))
 
 
 @query("SELECT l_returnflag, bin::BIGINT AS bin, count(*) AS n, round(avg(q), 6) AS x_mean, round(avg(p), 6) AS y_mean FROM (SELECT l_returnflag, l_quantity AS q, l_extendedprice AS p, ntile(25) OVER (PARTITION BY l_returnflag ORDER BY l_quantity, l_extendedprice, l_orderkey) AS bin FROM lineitem) GROUP BY ALL")
@@ -802,10 +790,17 @@ def label_changes(spark, sf):
 # array-batched kernels (no SQL form)
 
 
-@query()
+_ONE, _TWO = [9, 10, 17, 18], [44, 45, 46, 52, 53, 54]  # flat places of two components of an 8 x 8 mask
+_RING_ONE, _RING_TWO = [1, 2, 8, 11, 16, 19, 25, 26], [36, 37, 38, 43, 47, 51, 55, 60, 61, 62]
+
+
+@query(
+    f"""SELECT vec_id::VARCHAR AS stem, k::BIGINT AS instance, round(CASE k WHEN 1 THEN list_avg(list_transform({_ONE}, lambda i: e[i + 1])) - list_avg(list_transform({_RING_ONE}, lambda i: e[i + 1]))
+  ELSE list_avg(list_transform({_TWO}, lambda i: e[i + 1])) - list_avg(list_transform({_RING_TWO}, lambda i: e[i + 1])) END, 6) AS contrast FROM (SELECT vec_id, {_E} AS e, unnest([1, 2]) AS k FROM embeddings)"""
+)
 def instance_contrast(spark, sf):
-    e = _e()
-    rows = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("stem"), F.lit(8).alias("height"), F.lit(8).alias("width"), e.alias("pixels"), F.transform(e, lambda v: v > 0.1).alias("mask"))
+    mask = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: i.isin(_ONE + _TWO))
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("stem"), F.lit(8).alias("height"), F.lit(8).alias("width"), _e().alias("pixels"), mask.alias("mask"))
     return film_ops.instance_contrasts(rows, least=2, ring=1).withColumn("contrast", F.round("contrast", 6))
 
 

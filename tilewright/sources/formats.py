@@ -35,6 +35,21 @@ def tiff_shape(data: bytes) -> tuple[int, int, str]:
     return t[HEIGHT][0], t[WIDTH][0], f"{kind}{t.get(BITS, [1])[0]}"
 
 
+def tiff_header(read) -> tuple[int, int, str]:
+    """(height, width, dtype) of a TIFF of which only the header and the first directory are read: ``read(start, stop)`` gives bytes."""
+    head = read(0, 8)
+    order = {b"II": "<", b"MM": ">"}.get(head[:2])
+    if not order or len(head) < 8 or struct.unpack(order + "H", head[2:4])[0] != 42:
+        raise ValueError("not a classic TIFF")
+    at = struct.unpack(order + "I", head[4:8])[0]
+    n = struct.unpack(order + "H", read(at, at + 2))[0]
+    # the same header with the directory right behind it: sizes, bits and format are in the entries themselves
+    near = head[:4] + struct.pack(order + "I", 8)
+    entries = read(at + 2, at + 2 + 12 * n)
+    kept = [e for e in (entries[i : i + 12] for i in range(0, len(entries), 12)) if struct.unpack(order + "H", e[:2])[0] in (WIDTH, HEIGHT, BITS, FORMAT)]
+    return tiff_shape(near + struct.pack(order + "H", len(kept)) + b"".join(kept) + b"\0" * 4)
+
+
 def read_tiff(data: bytes) -> np.ndarray:
     """Pixels of an uncompressed or deflated single-channel TIFF; other channel counts are an error."""
     t = tiff_tags(data)
@@ -106,6 +121,14 @@ def read_png(data: bytes) -> np.ndarray:
     return out.reshape(h, w) if c == 1 else out.reshape(h, w, 3)
 
 
+def directory_start(data: bytes) -> int:
+    """Where the directory begins in the archive, from the archive's last bytes."""
+    end = data.rfind(b"PK\5\6")
+    if end < 0:
+        raise ValueError("no end of central directory")
+    return struct.unpack_from("<I", data, end + 16)[0]
+
+
 def zip_directory(data: bytes, offset: int = 0) -> list[dict]:
     """Members of a zip: name, method, crc, sizes and header place. ``data`` may be the archive's tail, from ``offset`` on."""
     end = data.rfind(b"PK\5\6")
@@ -130,15 +153,3 @@ def zip_member(data: bytes, member: dict, offset: int = 0) -> bytes:
     if len(out) != member["size"] or zlib.crc32(out) != member["crc"]:
         raise ValueError(f"{member['name']}: size or checksum differs")
     return out
-
-
-def spans(members: list[dict], max_gap: int) -> list[tuple[int, int]]:
-    """Byte ranges that cover the members, those within ``max_gap`` bytes of each other in one."""
-    out: list[list[int]] = []
-    for m in sorted(members, key=lambda m: m["place"]):
-        a, b = m["place"], m["place"] + 30 + len(m["name"]) + 1024 + m["packed"]
-        if out and a - out[-1][1] <= max_gap:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tilewright.functions.geometry import rectangle_corners
 from tilewright.functions.scalars import class_of
-from tilewright.sources import formats
+from tilewright.sources import archives, formats
+from tilewright.sources.writers import local
 
 LABELME = "imageHeight long, imageWidth long, imagePath string, shapes array<struct<label:string,points:array<array<double>>,shape_type:string,description:string,flags:map<string,boolean>>>"
 
@@ -23,22 +24,28 @@ def _files(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.lower("path").rlike(r"\.tiff?$"))
 
 
-def image_headers(spark: SparkSession, root: str) -> DataFrame:
-    """path, stem, height, width, dtype, sha1 and problem: a bad file gives a row with its problem instead of ending the job."""
+def image_headers(spark: SparkSession, root: str, digest: bool = True) -> DataFrame:
+    """path, stem, height, width, dtype, problem and, with ``digest``, sha1: a bad file gives a row with its problem instead of ending
+    the job. Without ``digest`` a few hundred bytes of each file are read."""
+    names = ["path", *(["sha1"] if digest else []), "height", "width", "dtype", "problem"]
+
+    def shape(path, data):
+        return formats.tiff_shape(data) if digest else formats.tiff_header(lambda a, b: archives.read_range(path, a, b))
 
     def read(batches):
         for b in batches:
             out = []
-            for data in b.column("content").to_pylist():
+            for path, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist() if digest else iter(lambda: None, 0)):
                 try:
-                    out.append((*formats.tiff_shape(data), None))
+                    out.append((*shape(path, data), None))
                 except Exception as e:  # noqa: BLE001  a row's status, whatever is wrong with the file
                     out.append((None, None, None, str(e)[:200]))
             h, w, d, p = zip(*out) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([b.column("path"), b.column("sha1"), pa.array(h, pa.int64()), pa.array(w, pa.int64()), pa.array(d, pa.string()), pa.array(p, pa.string())], ["path", "sha1", "height", "width", "dtype", "problem"])
+            own = [b.column(c) for c in names[: len(names) - 4]]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(h, pa.int64()), pa.array(w, pa.int64()), pa.array(d, pa.string()), pa.array(p, pa.string())], names)
 
-    rows = _files(spark, root).select("path", F.sha1("content").alias("sha1"), "content")
-    out = rows.mapInArrow(read, "path string, sha1 string, height long, width long, dtype string, problem string")
+    rows = _files(spark, root).select("path", *([F.sha1("content").alias("sha1"), "content"] if digest else []))
+    out = rows.mapInArrow(read, ", ".join(f"{n} {'long' if n in ('height', 'width') else 'string'}" for n in names))
     return out.withColumn("stem", F.regexp_extract("path", r"([^/]+)\.[^./]*$", 1))
 
 
@@ -93,22 +100,46 @@ def film_list(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.regexp_replace("key", "^(.*?)__", "$1/").alias("key"))
 
 
-def zip_members(spark: SparkSession, path: str, pattern: str | None = None, extract: bool = False) -> DataFrame:
-    """name, method, size, crc and, if ``extract``, content of the members of zip archives; ``pattern`` filters names first."""
-
-    def read(batches):
-        import re
-
-        want = re.compile(pattern) if pattern else None
-        for b in batches:
-            for archive, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
-                found = [m for m in formats.zip_directory(data) if not want or want.search(m["name"])]
-                for m in found:
-                    body = formats.zip_member(data, m) if extract else None
-                    yield pa.RecordBatch.from_pylist([{"archive": archive, "name": m["name"], "method": m["method"], "size": m["size"], "crc": m["crc"], "content": body}], _ZIP)
-
-    rows = spark.read.format("binaryFile").load(path).select("path", "content")
-    return rows.mapInArrow(read, "archive string, name string, method int, size long, crc long, content binary")
-
-
-_ZIP = pa.schema([("archive", pa.string()), ("name", pa.string()), ("method", pa.int32()), ("size", pa.int64()), ("crc", pa.int64()), ("content", pa.binary())])
+def zip_members(spark: SparkSession, path: str, pattern: str | None = None, extract: bool = False, max_gap: int = 1 << 20) -> DataFrame:
+    """name, method, size, crc and, if ``extract``, content of the members of zip archives (files, or an address); ``pattern`` filters
+    names first. Archives are read by ranges, never whole."""
+    found = archives.members(archives.archives(spark, path), pattern)
+    if extract:
+        return archives.contents(found, max_gap)
+    return found.select("archive", "name", "method", "size", "crc", F.lit(None).cast("binary").alias("content"))
+
+
+def data_yaml(path: str) -> dict:
+    """What ``writers.data_yaml`` wrote: root, parts, names by class id, params. A driver's small document of plain keys and values."""
+    import json
+
+    out: dict = {"parts": {}, "names": {}, "params": {}}
+    block = None
+    for line in local(path).read_text(encoding="utf-8").splitlines():
+        key, _, value = line.strip().partition(":")
+        value = value.strip()
+        if not line.strip() or line.lstrip().startswith("#"):
+            continue
+        if not line.startswith(" "):
+            block = key if not value else None
+            if key == "path":
+                out["root"] = value
+            elif value:
+                out["parts"][key] = value
+        elif block == "names":
+            out["names"][int(key)] = value
+        elif block == "params":
+            out["params"][key] = json.loads(value)
+    return out
+
+
+def registered(spark: SparkSession, path: str, name: str, version: str | None = None) -> tuple[dict, DataFrame]:
+    """(document, rows) of a dataset version that ``writers.register`` wrote; the newest by name if none is given."""
+    import json
+
+    folder = local(f"{path}/{name}")
+    found = sorted(p.parent.name for p in folder.glob("*/dataset.json"))
+    if not found or version not in (None, *found):
+        raise FileNotFoundError(f"no version {version or ''} of {name} in {path}")
+    version = version or found[-1]
+    return json.loads((folder / version / "dataset.json").read_text(encoding="utf-8")), spark.read.parquet(f"{path}/{name}/{version}/data")

@@ -89,8 +89,43 @@ def data_yaml(path: str, root: str, names: list[str], parts: dict[str, str], par
     at.write_text("\n".join(lines) + "\n", encoding="utf-8")
 
 
+def symlink_view(tiles: DataFrame, root: str, view: str) -> DataFrame:
+    """(part, tile) of links ``{view}/images/{part}/{tile}.png`` and labels beside them to a dataset's files; ``tiles``: part (of the
+    view), tile, stored (the part whose folder holds it). Links that are there are replaced, so a task may run again."""
+    base, target = str(local(root)), str(local(view))
+
+    def write(batches):
+        import os
+        import uuid
+
+        for b in batches:
+            for r in b.select(["part", "tile", "stored"]).to_pylist():
+                for kind, end in (("images", "png"), ("labels", "txt")):
+                    at = Path(target, kind, r["part"], f"{r['tile']}.{end}")
+                    at.parent.mkdir(parents=True, exist_ok=True)
+                    tmp = at.with_name(f".{uuid.uuid4().hex}")
+                    tmp.symlink_to(Path(base, kind, r["stored"], at.name))
+                    os.replace(tmp, at)
+            yield b.select(["part", "tile"])
+
+    return tiles.select("part", "tile", "stored").mapInArrow(write, "part string, tile string")
+
+
+def in_batches(rows: DataFrame, work, path: str, key: str, batches: int) -> DataFrame:
+    """``work`` of all rows, appended to ``path`` in ``batches`` parts by a hash of the key. A part is committed whole, so after a failure
+    another call does what is missing."""
+    spark = rows.sparkSession
+    todo = rows.withColumn("__part", F.pmod(F.xxhash64(key), F.lit(batches)).cast("int"))
+    for k in range(batches):
+        at = f"{path}/part={k}"
+        if not local(at).joinpath("_SUCCESS").exists():
+            work(todo.where(F.col("__part") == k).drop("__part")).write.mode("overwrite").parquet(at)
+    return spark.read.parquet(path).drop("part")
+
+
 def markdown_table(df: DataFrame, limit: int = 200) -> str:
-    """A report's table; reports are short."""
-    rows = df.limit(limit).collect()
+    """A report's table of at most ``limit`` rows; what is left out is said in a last line."""
+    rows = df.limit(limit + 1).collect()
     head = "| " + " | ".join(df.columns) + " |"
-    return "\n".join([head, "|" + "---|" * len(df.columns), *("| " + " | ".join(map(str, r)) + " |" for r in rows)])
+    more = [f"| ... more than {limit} rows |" + " |" * (len(df.columns) - 1)] if len(rows) > limit else []
+    return "\n".join([head, "|" + "---|" * len(df.columns), *("| " + " | ".join(map(str, r)) + " |" for r in rows[:limit]), *more])
