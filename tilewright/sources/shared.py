@@ -22,7 +22,12 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own[0]}"
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new folder's path in the shared folder."""
+    return f"{shared_dir(spark)}/tables/{tag}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
-    path = f"{shared_dir(df.sparkSession)}/tables/{tag}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
