@@ -67,5 +67,25 @@ def test_empty_tables_and_nothing_to_learn(docs_of):
 def test_packing_round_trip():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 1 << 48, 1000).astype(np.uint64)
+    for top in (0, 200, 1 << 15, 1 << 31, 1 << 40):
+        n = rng.integers(0, top + 1, 50)
+        assert (K._unthin(K._thin(n)) == n).all()
     assert (K._unsix(K._six(a)) == a).all()
     assert K._split(K._join(b"a", b"", b"xyz")) == [b"a", b"", b"xyz"]
+
+
+def test_parts_of_many_buckets_give_the_same_scores(docs_of, monkeypatch):
+    docs = docs_of([*TEXTS, "a b unseen"])
+    want = {r.doc_id: r.score for r in K.scores(docs, K.fit(docs)).collect()}
+    monkeypatch.setattr(K, "BUCKET_BYTES", 1)  # 2 ** 10 buckets, two of them a file
+    model = K.fit(docs)
+    assert model.shift > 0
+    got = {r.doc_id: r.score for r in K.scores(docs, model).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-12) for i in want)
+
+
+def test_a_very_long_text(docs_of):
+    text = "a b c d " * 200_000
+    docs = docs_of([text, "a b c d"])
+    got = {r.doc_id: r for r in K.scores(docs, K.fit(docs)).collect()}
+    assert got[1].n_tokens == 800_001 and got[1].n_known == 800_001 and got[1].score < 0

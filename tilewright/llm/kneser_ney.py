@@ -2,12 +2,15 @@
 
 Counting. Tokens are 64-bit hashes; in the bigram tables 48 bits of them. Each task counts the bigrams of PACK tokens at a time in
 numpy and cuts the sorted result by the top bits of the bigram's key, so a frequent word's bigrams spread over all buckets and a
-frequent pair is one record a pack. A bucket's packs meet in one task (its size is set by the number of buckets, which grows
-with the corpus), are merged, and are written as sorted arrays of keys and counts to the shared folder. From the merged bigrams
-come the follower statistics of each context and the number of contexts of each word, merged and written the same way.
+frequent pair is one record a pack. Packs are dealt by parts, runs of buckets, and sorted; a task streams its parts and merges a
+bucket at a time (its size is set by the number of buckets, which grows with the corpus). A part is one file of sorted arrays of
+keys and counts, each as narrow as its largest count, with an index of where each bucket's arrays begin. From the merged bigrams
+come the follower statistics of each context and the number of contexts of each word, merged and written the same way. The number of
+files grows to some thousands only: parts get larger, up to 2 ** MOST_PART buckets.
 
-Scoring. Workers map the arrays and look up a block's distinct keys in order, so the pages touched are read once a block. Memory
-is one block of BLOCK tokens, or one text. Nothing of the model is broadcast but its address and a dozen totals.
+Scoring. Workers map the files and keep up to MAPPED of them, without a file descriptor each, so no block opens them anew. A block's
+distinct keys are looked up in order, so the pages touched are read once a block. Memory is one block of BLOCK tokens, or one
+text. Nothing of the model is broadcast but its address and a dozen totals.
 
 The arrays are plain files, so the shared folder must be mounted (``file:`` or no scheme). A task that is run again writes the
 same file again and moves it into place.
@@ -18,11 +21,14 @@ not learned from; repeated rows count each time; an empty table gives an empty t
 
 from __future__ import annotations
 
+import json
 import math
+import mmap
 import os
 import struct
 import uuid
 import zlib
+from collections import OrderedDict
 from urllib.parse import urlparse
 
 import numpy as np
@@ -37,6 +43,9 @@ from tilewright.llm.minhash_dedup import mix
 PACK = 3_000_000
 BLOCK = 800_000
 BUCKET_BYTES = 8 << 20  # of training text for each bucket of bigrams
+MOST_PART = 10  # a file holds 2 ** MOST_PART buckets at most
+MAPPED = 16_000  # files that a worker keeps mapped
+ROWS_A_BATCH = 32  # packs are large rows
 CACHE = 500_000
 
 _G = np.uint64(0x9E3779B97F4A7C15)
@@ -90,12 +99,18 @@ def _split(b: bytes) -> list[bytes]:
     return out
 
 
+def _narrow(a: np.ndarray) -> np.ndarray:
+    """Whole numbers in the narrowest type that holds the largest."""
+    return a.astype(np.min_scalar_type(int(a.max()) if a.size else 0))
+
+
 def _thin(a: np.ndarray) -> bytes:
-    return zlib.compress(a.astype("<u4").tobytes(), 1)
+    a = _narrow(a)
+    return bytes([a.itemsize]) + zlib.compress(a.astype(f"<u{a.itemsize}").tobytes(), 1)
 
 
 def _unthin(b: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(b), "<u4").astype(np.int64)
+    return np.frombuffer(zlib.decompress(b[1:]), f"<u{b[0]}").astype(np.int64)
 
 
 def bigram_key(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
@@ -163,62 +178,107 @@ def _counter(bits: int, bits2: int):
     return run
 
 
-def _save(folder: str, name: str, **arrays: np.ndarray) -> None:
-    for key, a in arrays.items():
-        path = f"{folder}/{name}.{key}.npy"
-        with open(tmp := f"{path}.{uuid.uuid4().hex}", "wb") as f:
-            np.save(f, a)
-        os.replace(tmp, path)
+def _path(folder: str, kind: str, part: int) -> str:
+    return f"{folder}/{part >> 10}/{kind}{part}"
+
+
+class _File:
+    """A part's arrays, bucket after bucket, and at the end the index {bucket: [[place, length, type], ...]} with its size."""
+
+    def __init__(self, folder: str, kind: str, part: int):
+        self.path = _path(folder, kind, part)
+        os.makedirs(os.path.dirname(self.path), exist_ok=True)
+        self.tmp, self.index = f"{self.path}.{uuid.uuid4().hex}", {}
+        self.f = open(self.tmp, "wb")  # noqa: SIM115  closed by ``close``
+
+    def add(self, bucket: int, *arrays: np.ndarray) -> None:
+        places = []
+        for a in arrays:
+            self.f.write(b"\0" * (-self.f.tell() % 8))
+            places.append([self.f.tell(), a.size, a.dtype.str])
+            self.f.write(np.ascontiguousarray(a).tobytes())
+        self.index[bucket] = places
+
+    def close(self) -> None:
+        body = json.dumps(self.index).encode()
+        self.f.write(body + struct.pack("<Q", len(body)))
+        self.f.close()
+        os.replace(self.tmp, self.path)
 
 
 def _of_counts(n: np.ndarray) -> list[int]:
     return [int((n == k).sum()) for k in (1, 2, 3, 4)]
 
 
-def _merge_first(folder: str, bits2: int):
-    """The packs of one bucket of bigrams or unigrams -> its arrays; for bigrams, packs of contexts and words."""
+def _merge_first(kind: int, bucket: int, packs: list[list[bytes]], bits2: int) -> tuple[tuple, list[tuple]]:
+    """The packs of one bucket of bigrams or unigrams -> its arrays; totals and, for bigrams, packs of contexts and words."""
+    if kind == UNIGRAMS:
+        h, _, n = _summed(np.concatenate([np.frombuffer(p[0], np.uint64) for p in packs]), np.concatenate([_unthin(p[1]) for p in packs]))
+        return (h, _narrow(n)), [(TOTALS, bucket, None, [0] * 9 + [int(n.sum()), len(h)])]
+    h1 = np.concatenate([np.repeat(_unsix(p[0]), _unthin(p[1])) for p in packs])
+    h2, n = np.concatenate([_unsix(p[2]) for p in packs]), np.concatenate([_unthin(p[3]) for p in packs])
+    key, at, n = _summed(bigram_key(h1, h2), n)
+    h1, h2 = h1[at], h2[at]
+    rows = [(TOTALS, bucket, None, [*_of_counts(n), 0, 0, 0, 0, len(key), 0, 0])]
+    c, _, total, n1, n2, n3 = _summed(h1, n, (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n > 2).astype(np.int64))
+    rows += [(CONTEXTS, b, _join(_six(c[s]), *(_thin(x[s]) for x in (total, n1, n2, n3))), None) for b, s in _cuts(c, bits2, 48)]
+    w, _, many = _summed(h2, np.ones(len(h2), np.int64))
+    rows += [(WORDS, b, _join(_six(w[s]), _thin(many[s])), None) for b, s in _cuts(w, bits2, 48)]
+    return (key, _narrow(n)), rows
 
-    def f(table: pa.Table) -> pa.Table:
-        kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
-        packs = [_split(p.as_py()) for p in table.column("payload")]
-        if kind == UNIGRAMS:
-            h, _, n = _summed(np.concatenate([np.frombuffer(p[0], np.uint64) for p in packs]), np.concatenate([_unthin(p[1]) for p in packs]))
-            _save(folder, f"u{bucket}", key=h, n=n)
-            return pa.Table.from_arrays(_table([(TOTALS, bucket, None, [0] * 9 + [int(n.sum()), len(h)])]), _NAMES)
-        h1 = np.concatenate([np.repeat(_unsix(p[0]), _unthin(p[1])) for p in packs])
-        h2, n = np.concatenate([_unsix(p[2]) for p in packs]), np.concatenate([_unthin(p[3]) for p in packs])
-        key, at, n = _summed(bigram_key(h1, h2), n)
-        h1, h2 = h1[at], h2[at]
-        _save(folder, f"b{bucket}", key=key, n=np.minimum(n, 2**32 - 1).astype(np.uint32))
-        rows = [(TOTALS, bucket, None, [*_of_counts(n), 0, 0, 0, 0, len(key), 0, 0])]
-        c, _, total, n1, n2, n3 = _summed(h1, n, (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n > 2).astype(np.int64))
-        rows += [(CONTEXTS, b, _join(_six(c[s]), *(_thin(x[s]) for x in (total, n1, n2, n3))), None) for b, s in _cuts(c, bits2, 48)]
-        w, _, many = _summed(h2, np.ones(len(h2), np.int64))
-        rows += [(WORDS, b, _join(_six(w[s]), _thin(many[s])), None) for b, s in _cuts(w, bits2, 48)]
-        return pa.Table.from_arrays(_table(rows), _NAMES)
 
-    return f
+def _merge_second(kind: int, bucket: int, packs: list[list[bytes]], bits2: int) -> tuple[tuple, list[tuple]]:
+    """The packs of one bucket of contexts or words -> its arrays, and totals."""
+    h, _, *sums = _summed(np.concatenate([_unsix(p[0]) for p in packs]), *(np.concatenate([_unthin(p[i]) for p in packs]) for i in range(1, len(packs[0]))))
+    total = [0] * N_TOTALS
+    if kind == WORDS:
+        total[4:8] = _of_counts(sums[0])
+    return (h, *map(_narrow, sums)), [(TOTALS, bucket, None, total)]
 
 
-def _merge_second(folder: str):
-    """The packs of one bucket of contexts or words -> its arrays; totals are added up."""
+_KINDS = {BIGRAMS: "b", UNIGRAMS: "u", CONTEXTS: "c", WORDS: "w"}
 
-    def f(table: pa.Table) -> pa.Table:
-        kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
-        if kind == TOTALS:
-            total = np.array(table.column("totals").to_pylist()).sum(0).tolist()
-        else:
-            packs = [_split(p.as_py()) for p in table.column("payload")]
-            h, _, *sums = _summed(np.concatenate([_unsix(p[0]) for p in packs]), *(np.concatenate([_unthin(p[i]) for p in packs]) for i in range(1, len(packs[0]))))
-            total = [0] * N_TOTALS
-            if kind == CONTEXTS:
-                _save(folder, f"c{bucket}", key=h, n=np.stack(sums, 1))
-            else:
-                _save(folder, f"w{bucket}", key=h, n=sums[0])
-                total[4:8] = _of_counts(sums[0])
-        return pa.Table.from_arrays(_table([(TOTALS, bucket, None, total)]), _NAMES)
 
-    return f
+def _merged(merge, folder: str, shift: int, bits2: int):
+    """Rows sorted by kind and bucket, whole parts to a task -> files, and what ``merge`` passes on; totals are added up."""
+
+    def run(batches):
+        total, at, packs, file, part = np.zeros(N_TOTALS, np.int64), None, [], None, None
+
+        def bucket_done():
+            nonlocal file, part
+            if part != (at[0], at[1] >> shift):
+                if file:
+                    file.close()
+                part = (at[0], at[1] >> shift)
+                file = _File(folder, _KINDS[at[0]], part[1])
+            arrays, rows = merge(*at, packs, bits2)
+            file.add(at[1], *arrays)
+            for row in rows:
+                if row[0] == TOTALS:
+                    total[:] += row[3]
+                else:
+                    yield pa.RecordBatch.from_arrays(_table([row]), _NAMES)
+
+        for batch in batches:
+            for kind, bucket, payload, totals in zip(*(batch.column(c) for c in range(4))):
+                kind, bucket = kind.as_py(), bucket.as_py()
+                if kind == TOTALS:
+                    total += totals.as_py()
+                    continue
+                if at is not None and at != (kind, bucket):
+                    yield from bucket_done()
+                    packs = []
+                at = (kind, bucket)
+                packs.append(_split(payload.as_py()))
+        if at is not None:
+            yield from bucket_done()
+            file.close()
+        yield pa.RecordBatch.from_arrays(_table([(TOTALS, 0, None, total.tolist())]), _NAMES)
+        del packs
+        C.release()
+
+    return run
 
 
 def discounts(n: list[int]) -> tuple[float, float, float, float]:
@@ -234,8 +294,8 @@ def discounts(n: list[int]) -> tuple[float, float, float, float]:
 class Model:
     """Where the arrays are, and the totals."""
 
-    def __init__(self, folder: str, bits: int, bits2: int, totals: list[int]):
-        self.folder, self.bits, self.bits2 = folder, bits, bits2
+    def __init__(self, folder: str, bits: int, bits2: int, shift: int, totals: list[int]):
+        self.folder, self.bits, self.bits2, self.shift = folder, bits, bits2, shift
         self.d, self.dw = discounts(totals[:4]), discounts(totals[4:8])
         self.pairs, self.tokens, self.types = totals[8:]
         self.with_contexts = np.array([totals[4], totals[5], max(0, self.types - totals[4] - totals[5])], float)
@@ -256,36 +316,60 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
     bits2 = max(1, bits - 2)
     folder = _mounted(C.new_path(docs.sparkSession, "kneser-ney"))
     os.makedirs(folder, exist_ok=True)
-    packs = rows.mapInArrow(_counter(bits, bits2), _ROW)
-    first = packs.groupBy("kind", "bucket").applyInArrow(_merge_first(folder, bits2), _ROW)
-    second = first.groupBy("kind", "bucket").applyInArrow(_merge_second(folder), _ROW)
-    sums = second.agg(*(F.sum(F.col("totals")[i]) for i in range(N_TOTALS))).first()
-    return Model(folder, bits, bits2, [int(x or 0) for x in sums])
+    shift = max(0, min(MOST_PART, bits - 8))  # small corpora have many files of a bucket, for parallel tasks
+    dealt = lambda df: df.repartition("kind", F.shiftright("bucket", shift)).sortWithinPartitions("kind", "bucket")
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, str(min(ROWS_A_BATCH, int(before)) if int(before) > 0 else ROWS_A_BATCH))
+    try:
+        packs = rows.mapInArrow(_counter(bits, bits2), _ROW)
+        first = dealt(packs).mapInArrow(_merged(_merge_first, folder, shift, bits2), _ROW)
+        second = dealt(first).mapInArrow(_merged(_merge_second, folder, shift, bits2), _ROW)
+        sums = second.agg(*(F.sum(F.col("totals")[i]) for i in range(N_TOTALS))).first()
+    finally:
+        conf.set(name, before)
+    return Model(folder, bits, bits2, shift, [int(x or 0) for x in sums])
 
 
 class Reader:
     """Looks up sorted keys in a model's arrays."""
 
     def __init__(self, model: Model):
-        self.m, self.open = model, {}
-
-    def _arrays(self, name: str):
-        if len(self.open) > 350:  # each holds two open files
-            self.open.clear()
-        if name not in self.open:
-            path = f"{self.m.folder}/{name}"
-            self.open[name] = (np.load(f"{path}.key.npy", mmap_mode="r"), np.load(f"{path}.n.npy", mmap_mode="r")) if os.path.exists(f"{path}.key.npy") else None
-        return self.open[name]
+        self.m, self.open = model, OrderedDict()
+
+    def _part(self, kind: str, part: int):
+        """(map, index) of a file, None if there is none."""
+        key = (kind, part)
+        if key in self.open:
+            self.open.move_to_end(key)
+            return self.open[key]
+        path = _path(self.m.folder, kind, part)
+        found = None
+        if os.path.exists(path):
+            with open(path, "rb") as f:
+                whole = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)
+            (n,) = struct.unpack_from("<Q", whole, len(whole) - 8)
+            found = whole, json.loads(whole[len(whole) - 8 - n : len(whole) - 8])
+        self.open[key] = found
+        if len(self.open) > MAPPED:
+            self.open.popitem(last=False)
+        return found
+
+    def _arrays(self, kind: str, bucket: int) -> list[np.ndarray] | None:
+        found = self._part(kind, bucket >> self.m.shift)
+        places = found[1].get(str(bucket)) if found else None
+        return [np.frombuffer(found[0], t, n, at) for at, n, t in places] if places else None
 
     def find(self, kind: str, keys: np.ndarray, bits: int, width: int, columns: int = 1) -> np.ndarray:
         """What is stored for each of the sorted ``keys``; 0 if nothing."""
         out = np.zeros((len(keys), columns), np.int64)
         for b, s in _cuts(keys, bits, width) if len(keys) else ():
-            if arrays := self._arrays(f"{kind}{b}"):
-                k, n = arrays
+            if arrays := self._arrays(kind, b):
+                k, *values = arrays
                 at = np.minimum(np.searchsorted(k, keys[s]), len(k) - 1)
                 hit = np.flatnonzero(k[at] == keys[s])
-                out[s.start + hit] = np.asarray(n[at[hit]]).reshape(-1, columns)
+                for c, n in enumerate(values):
+                    out[s.start + hit, c] = n[at[hit]]
         return out if columns > 1 else out[:, 0]
 
     def score(self, texts: list[np.ndarray]) -> list[tuple[int, int, float, float]]:
