@@ -787,7 +787,7 @@ def label_changes(spark, sf):
     return selection.label_changes(stored, derived)
 
 
-# array-batched kernels (no SQL form)
+# array-batched kernels
 
 
 _ONE, _TWO = [9, 10, 17, 18], [44, 45, 46, 52, 53, 54]  # flat places of two components of an 8 x 8 mask
@@ -804,9 +804,20 @@ def instance_contrast(spark, sf):
     return film_ops.instance_contrasts(rows, least=2, ring=1).withColumn("contrast", F.round("contrast", 6))
 
 
-@query()
+_BEAD = "30000.0::DOUBLE + 20000.0::DOUBLE * greatest(0.0, 1.0::DOUBLE - pow((j - 150 - id % 200) / (40.0::DOUBLE + 3 * s), 2))"
+
+
+@query(
+    f"""WITH w AS (SELECT k, exp(-0.5::DOUBLE * (k / 6.0::DOUBLE) * (k / 6.0::DOUBLE)) AS w FROM (SELECT unnest(range(-24, 25)) AS k)),
+t AS (SELECT i, k, w / (SELECT sum(w) FROM w) AS w, CASE WHEN i + k < 0 THEN -(i + k) WHEN i + k > 499 THEN 998 - (i + k) ELSE i + k END AS j FROM (SELECT unnest(range(0, 500)) AS i), w),
+g AS (SELECT id, i, sum(w * ({_BEAD})) AS g FROM (SELECT p_partkey AS id, p_size AS s FROM part), t GROUP BY id, i),
+m AS (SELECT id, quantile_cont(g, 0.05) AS dark, quantile_cont(g, 0.95) AS bright FROM g GROUP BY id),
+r AS (SELECT id, min(i) AS first, max(i) AS last FROM g JOIN m USING (id) WHERE g > (dark + bright) / 2 AND bright > 0 AND bright - dark >= 0.03 * bright GROUP BY id),
+k AS (SELECT *, (first + last) / 2.0::DOUBLE AS centre, (last - first) / 2.0::DOUBLE AS half FROM r WHERE last - first + 1 BETWEEN 40 AND 485 AND first > 0 AND last < 499 AND last - first >= 60)
+SELECT p_partkey::VARCHAR AS stem, centre, half AS half_width, first AS top, last AS bottom FROM part LEFT JOIN k ON id = p_partkey"""
+)
 def bead_geometry(spark, sf):
-    """A part as a film's row profile: a parabola whose place and width follow its key and size."""
+    """A part as a film's row profile: a parabola, clear of the borders, whose place and width follow its key and size."""
     y, k, s = F.sequence(F.lit(0), F.lit(499)), F.col("p_partkey"), F.col("p_size")
     bead = F.transform(y, lambda v: 30000.0 + 20000.0 * F.greatest(F.lit(0.0), 1.0 - F.pow((v - 150 - k % 200) / (40.0 + 3 * s), F.lit(2.0))))
     return film_ops.beads(table(spark, sf, "part").select(k.cast("string").alias("stem"), bead.alias("profile")))
