@@ -6,12 +6,14 @@ Training maximises the conditional likelihood on sequences spliced from windows
 are seen. Forward-backward over the whole text gives every word's marginals; a document's language is the one with the
 largest mean marginal, which is also the score.
 
-Learned from a bounded sample: of each of the MAX_LANGS most common languages about SAMPLE_DOCS rows, at most WINDOWS windows
-of WINDOW words from each. The model is broadcast: BUCKETS * languages weights of 4 bytes and LEXICON words a language.
+Learned from a bounded sample: of each language that a label names about SAMPLE_DOCS rows, chosen by a hash, at most WINDOWS windows
+of WINDOW words of at most WORD letters from each. The model is broadcast: (BUCKETS + languages) * languages weights of 4 bytes and
+LEXICON words a language.
 Prediction is one pass without a shuffle; memory is bounded by BLOCK words or one document.
 
 Results: ``und`` with score 0 for a null text, one without letters, or without anything to learn from; ties go to the first
-language in code-point order; rows with a null id are predicted, but not learned from; repeated rows are predicted each.
+language in code-point order; rows with a null id are predicted, but not learned from; repeated rows are predicted each and equal
+windows learned from once; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -28,8 +30,7 @@ from pyspark.sql import functions as F
 from tilewright.llm import _common as C
 
 SAMPLE_DOCS = 400
-MAX_LANGS = 256
-WINDOWS, WINDOW = 3, 50
+WINDOWS, WINDOW, WORD = 3, 50, 64
 LEXICON = 500
 BUCKETS = 1 << 16
 BLOCK = 300_000
@@ -40,7 +41,7 @@ words_in = re.compile(r"[^\W\d_]+").findall
 
 def features(words: list[str], lexicon: dict[str, tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
     """(row of the weights, number of the word) of every feature: all 2- and 3-grams of ``<word>``, its affixes as the 4- and
-    5-grams at its ends, the word itself, and the lexicons it is in (the first MAX_LANGS rows)."""
+    5-grams at its ends, the word itself, and the lexicons it is in (a row for each language after the BUCKETS)."""
     c = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     size = np.array([len(w) + 2 for w in words])
     of = np.repeat(np.arange(len(words)), size)
@@ -58,9 +59,9 @@ def features(words: list[str], lexicon: dict[str, tuple[int, ...]]) -> tuple[np.
     rows.append(np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words)))
     owner.append(np.arange(len(words)))
     flat = np.concatenate(rows) * np.uint64(0xD6E8FEB86659FD93)
-    known = [(k, i) for i, w in enumerate(words) for k in lexicon.get(w, ())]
+    known = [(BUCKETS + k, i) for i, w in enumerate(words) for k in lexicon.get(w, ())]
     return (
-        np.concatenate([MAX_LANGS + ((flat >> np.uint64(32)) % np.uint64(BUCKETS - MAX_LANGS)).astype(np.int64), np.array([k for k, _ in known], np.int64)]),
+        np.concatenate([((flat >> np.uint64(32)) % np.uint64(BUCKETS)).astype(np.int64), np.array([k for k, _ in known], np.int64)]),
         np.concatenate([*owner, np.array([i for _, i in known], np.int64)]),
     )
 
@@ -223,7 +224,7 @@ def train(rows: list[tuple[str, list[str]]], rounds: int = 50, rate: float = 0.3
     np.add.at(seen, (gold[inner - 1], gold[inner]), 1)
     ids, gold = ids[perm], gold[perm]
     flat, of = features(list(vocab), lexicon)
-    w, a = np.zeros((BUCKETS, len(langs))), np.zeros((len(langs), len(langs)))
+    w, a = np.zeros((BUCKETS + len(langs), len(langs))), np.zeros((len(langs), len(langs)))
     hw, ha, n = np.full_like(w, 1e-8), np.full_like(a, 1e-8), len(gold)
     for _ in range(rounds):
         s = _sums(w, flat, of, len(vocab))[ids]
@@ -232,7 +233,7 @@ def train(rows: list[tuple[str, list[str]]], rounds: int = 50, rate: float = 0.3
         gamma[np.arange(n), gold] -= 1
         ga = (xi - seen) / n + 1e-5 * a
         gv = np.stack([np.bincount(ids, gamma[:, k], len(vocab)) for k in range(len(langs))], 1)[of]
-        gw = np.stack([np.bincount(flat, gv[:, k], BUCKETS) for k in range(len(langs))], 1) / n + 1e-7 * w
+        gw = np.stack([np.bincount(flat, gv[:, k], len(w)) for k in range(len(langs))], 1) / n + 1e-7 * w
         hw += gw * gw
         ha += ga * ga
         w -= rate * gw / np.sqrt(hw)
@@ -244,9 +245,10 @@ def _windows(batch: pa.RecordBatch):
     """At most WINDOWS windows of each text, placed by its content."""
     out = []
     for lang, text in zip(batch.column("lang").to_pylist(), C.texts(batch)):
-        words = [w for w in words_in(text.lower()) if any(map(str.isalpha, w)) and len(w) <= 64]
+        words = [w for w in words_in(text.lower()) if any(map(str.isalpha, w)) and len(w) <= WORD]
         spots = max(1, len(words) // WINDOW)
-        for k in sorted({zlib.crc32(f"{i} {text[:200]}".encode("utf-8", "surrogatepass")) % spots for i in range(WINDOWS)}):
+        whole = text.encode("utf-8", "surrogatepass")
+        for k in sorted({zlib.crc32(whole, i) % spots for i in range(WINDOWS)}):
             if part := words[k * WINDOW : (k + 1) * WINDOW]:
                 out.append((lang, part))
     yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.list_(pa.string()))], ["lang", "words"])
@@ -254,12 +256,12 @@ def _windows(batch: pa.RecordBatch):
 
 def fit(labelled: DataFrame) -> Crf:
     """Train on a bounded sample of rows (doc_id, text, lang)."""
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    counts = labelled.groupBy("lang").count().orderBy("lang").collect()  # one row a language
     if not counts:
         return train([])
-    share = F.coalesce(*(F.when(F.col("lang") == r.lang, F.lit(min(1.0, SAMPLE_DOCS / r["count"]))) for r in counts), F.lit(0.0))
-    rows = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30)).limit(4 * SAMPLE_DOCS * len(counts))
-    found = C.map_batches(rows.select("lang", "text"), lambda: _windows, "lang string, words array<string>").collect()
+    share = F.element_at(F.create_map(*(x for r in counts for x in (F.lit(r.lang), F.lit(min(1.0, SAMPLE_DOCS / r["count"]))))), F.col("lang"))
+    rows = labelled.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < share * (1 << 30))
+    found = C.map_batches(rows.select("lang", "text"), lambda: _windows, "lang string, words array<string>").distinct().collect()  # WINDOWS for each row of the sample at most
     return train(sorted((r.lang, list(r.words)) for r in found))
 
 
