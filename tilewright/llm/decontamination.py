@@ -4,20 +4,23 @@ Texts and items are lower-cased and their white space is collapsed. An item of m
 the text is within e = RATE * m edits of it. Such a part shares at least m - Q + 1 - Q * e of the item's q-grams, all on at most
 e + 1 neighbouring diagonals (text place - item place). So shared q-grams are counted in cells of e + 1 diagonals, two
 neighbouring cells make a band, and a band below the bound holds no match. What is left is verified by an alignment of the
-whole item within the band, many candidates at once. For short items e is lowered until the bound is 1.
+whole item within the band, many candidates at once. For short items e is lowered until the bound is 1. Items of fewer than Q
+characters allow no edit; an automaton finds them where they stand as whole words (inside of words such strings occur by chance).
 
-The benchmark is a stated query set: it is broadcast in blocks of at most BLOCK_ITEMS characters, each a pass over the texts,
-which are never shuffled; only found matches are grouped by document. Memory is one chunk of texts, or one text.
+The benchmark is a stated query set: it is broadcast in blocks of at most BLOCK_ITEMS characters (or one item), each a pass over the
+texts, which are never shuffled. Between blocks what was found is written and the block is given back, so at most one block is
+held, however large the benchmark. Memory is one chunk of texts, or one text.
 
-Results: a null, empty or short text contains nothing; items that are null or shorter than Q are not searched; equal items are
-all reported; a null id keeps its row, its matches being those of its own text; repeated rows are searched each; empty tables
-give no matches. Extra columns are ignored.
+Results: a null or empty text contains nothing; items that are null or blank are not searched; equal items are all reported; a null
+id keeps its row, its matches being those of its own text; repeated rows are searched each; empty tables give no matches. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -64,7 +67,17 @@ class Index:
     """The q-grams of normalised items."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        kept = [(i, t) for i, t in ((i, normal(t)) for i, t in items) if len(t) >= Q]
+        whole = [(i, normal(t)) for i, t in items]
+        self.short = ahocorasick.Automaton()
+        by_text: dict[str, list[int]] = {}
+        for i, t in whole:
+            if 0 < len(t) < Q:
+                by_text.setdefault(t, []).append(i)
+        for t, ids in by_text.items():
+            self.short.add_word(f" {t} ", ids)
+        if by_text:
+            self.short.make_automaton()
+        kept = [(i, t) for i, t in whole if len(t) >= Q]
         self.ids = [i for i, _ in kept]
         self.codes = [code_points(t) for _, t in kept]
         self.size = np.array([len(c) for c in self.codes], np.int64)
@@ -129,11 +142,15 @@ class Index:
     def search(self, texts: list[str]) -> list[list[tuple[int, int]]]:
         """For each normalised text the (item id, edits) it contains."""
         found: list[dict[int, int]] = [{} for _ in texts]
+        if len(self.short):
+            for own, t in zip(found, texts):
+                for _, ids in self.short.iter(f" {t} "):
+                    own.update(dict.fromkeys(ids, 0))
         size = np.array([len(t) + 1 for t in texts])
         start = np.cumsum(size) - size
         c = code_points("\n".join(texts))
         if not len(self.keys) or len(c) < Q:
-            return [[] for _ in texts]
+            return [sorted(x.items()) for x in found]
         item, diagonal = self.candidates(c)
         for k in np.unique(item):
             at = diagonal[item == k]
@@ -161,11 +178,14 @@ def _chunks(texts: list[str]):
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str):
-    """The items in blocks of about BLOCK_ITEMS characters."""
+    """The items in blocks by a hash of their ids, of at most BLOCK_ITEMS characters but for a single item."""
     rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL AND id IS NOT NULL")
-    n = max(1, math.ceil((rows.agg(F.sum(F.length("text"))).first()[0] or 0) / BLOCK_ITEMS))
+    part = lambda n: F.pmod(F.xxhash64("id", "text"), F.lit(n))
+    n = 1
+    while rows.groupBy(part(n)).agg(F.sum(F.length("text")).alias("size"), F.count_distinct("id", "text").alias("items")).where((F.col("size") > BLOCK_ITEMS) & (F.col("items") > 1)).count():
+        n *= 2
     for k in range(n):
-        yield [(r.id, r.text) for r in rows.where(F.pmod(F.xxhash64("id"), F.lit(n)) == k).orderBy("id", "text").collect()]
+        yield k == n - 1, [(r.id, r.text) for r in rows.where(part(n) == k).distinct().orderBy("id", "text").collect()]
 
 
 def with_leaks(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -174,7 +194,7 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("
     names = [*keep, "__whole", "__leaks"]
     schema = ", ".join(f"`{c}` {t}" for c, t in out.dtypes)
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int64())]))
-    for items in _blocks(benchmark, item_id, item_text):  # each block is one more pass within the same stage
+    for last, items in _blocks(benchmark, item_id, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def make(shared=shared):
@@ -189,6 +209,9 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("
             return f
 
         out = C.map_batches(out, make, schema)
+        if not last:
+            out = C.written(out, "leaks")
+            shared.destroy()
     return out
 
 
