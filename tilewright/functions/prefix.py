@@ -27,3 +27,16 @@ def running_before(df: DataFrame, key: str, value: Column, name: str, partition:
 def draw_rank(df: DataFrame, key: str, name: str = "rank", partition: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with its 0-based rank by draw key."""
     return running_before(df, key, F.lit(1), name, partition).withColumn(name, F.col(name).cast("long"))
+
+
+def global_rank(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
+    """``df`` with its 0-based rank by ``order``, ties by nothing else: range partitions are written with their number, a row a partition
+    gives their offsets, and windows run inside partitions."""
+    from tilewright.sources.shared import written
+
+    rows = written(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranked")
+    sizes = rows.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    offsets = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    return rows.withColumn(name, inside).join(F.broadcast(offsets), "__part").withColumn(name, (F.col(name) + F.col("__offset")).cast("long")).drop("__part", "__offset")

@@ -95,9 +95,20 @@ def bootstrap_ols(df: DataFrame, group: str, y: str, x1: str, x2: str, draws: in
 
 
 def binned_mean(df: DataFrame, x: str, y: str, ties: list[str], bins: int = 25, by: tuple[str, ...] = ()) -> DataFrame:
-    """Means of x and y in ``bins`` runs of equal count of x in each ``by`` group, larger runs first."""
-    w = Window.partitionBy(*(by or (F.lit(0),))).orderBy(x, *ties)
-    return df.withColumn("bin", F.ntile(bins).over(w)).groupBy(*by, "bin").agg(F.count("*").alias("n"), F.round(F.avg(x), 6).alias("x_mean"), F.round(F.avg(y), 6).alias("y_mean"))
+    """Means of x and y in ``bins`` runs of equal count of x in each ``by`` group, larger runs first. Without groups the rows are ranked
+    over range partitions, so no task gets them all."""
+    from tilewright.functions import prefix
+
+    if by:
+        rows = df.withColumn("bin", F.ntile(bins).over(Window.partitionBy(*by).orderBy(x, *ties)))
+    else:
+        ranked = prefix.global_rank(df.select(*dict.fromkeys((x, y, *ties))), [x, *ties], "__rank")
+        total = ranked.agg(F.count("*").alias("__rows"))
+        small, larger = F.floor(F.col("__rows") / bins), F.col("__rows") % bins
+        edge = larger * (small + 1)  # ranks below it are in runs of one row more
+        late = larger + F.floor((F.col("__rank") - edge) / F.greatest(small, F.lit(1)))
+        rows = ranked.crossJoin(F.broadcast(total)).withColumn("bin", (F.when(F.col("__rank") < edge, F.floor(F.col("__rank") / (small + 1))).otherwise(late) + 1).cast("int"))  # one row
+    return rows.groupBy(*by, "bin").agg(F.count("*").alias("n"), F.round(F.avg(x), 6).alias("x_mean"), F.round(F.avg(y), 6).alias("y_mean"))
 
 
 def gcd_step(df: DataFrame, by: list[str], value: str) -> DataFrame:

@@ -360,6 +360,13 @@ def point_in_window(spark, sf):
     return spatial.windows_with_point(t, points).select("film", "x", "y")
 
 
+@query(f"SELECT film, x, y FROM ({_FLUSH}) t WHERE EXISTS (SELECT 1 FROM ({BOXES}) b WHERE b.film = t.film AND b.x0 >= t.x AND b.x0 < t.x + t.side AND b.y0 >= t.y AND b.y0 < t.y + t.side)")
+def point_in_window_cells(spark, sf):
+    t = tiles.enumerate_tiles(films(spark, sf), FRACTION, OVERLAP, "flush").select("film", "x", "y", "side")
+    points = boxes(spark, sf).select("film", F.col("x0").alias("px"), F.col("y0").alias("py"))
+    return spatial.windows_with_point(t, points, cell=128).select("film", "x", "y")
+
+
 @query(f"SELECT DISTINCT a.film, a.shape FROM ({BOXES}) a JOIN ({BOXES}) b ON a.film = b.film AND a.shape <> b.shape AND b.x0 <= a.x1 + 6 AND b.x1 >= a.x0 - 6 AND b.y0 <= a.y1 + 6 AND b.y1 >= a.y0 - 6")
 def shape_clashes(spark, sf):
     return spatial.clashes(boxes(spark, sf), 6).select("film", "shape").distinct()
@@ -507,6 +514,12 @@ def binned_mean(spark, sf):
     return out.withColumn("bin", F.col("bin").cast("long"))
 
 
+@query("SELECT bin::BIGINT AS bin, count(*) AS n, round(avg(q), 6) AS x_mean, round(avg(p), 6) AS y_mean FROM (SELECT l_quantity AS q, l_extendedprice AS p, ntile(40) OVER (ORDER BY l_quantity, l_extendedprice) AS bin FROM lineitem) GROUP BY ALL")
+def binned_mean_all(spark, sf):
+    out = statistics.binned_mean(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", ["l_extendedprice"], bins=40)
+    return out.withColumn("bin", F.col("bin").cast("long"))
+
+
 @query("WITH RECURSIVE d AS (SELECT p_brand, list_sort(list_distinct(list((v - low)::BIGINT))) AS l FROM (SELECT p_brand, round(p_retailprice * 100)::BIGINT AS v, min(round(p_retailprice * 100)::BIGINT) OVER (PARTITION BY p_brand) AS low FROM part) GROUP BY p_brand) SELECT p_brand, coalesce(list_reduce(l, lambda a, b: gcd(a, b)), 0)::BIGINT AS step FROM d")
 def gcd_step(spark, sf):
     rows = table(spark, sf, "part").select("p_brand", F.round(F.col("p_retailprice") * 100).cast("long").alias("v"))
