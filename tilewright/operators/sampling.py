@@ -60,3 +60,9 @@ def trim_arms(df: DataFrame, arm: str, bucket: str, seed: int, *ids: str) -> Dat
     least = least.select(bucket, F.when(F.col("__have") == F.col("__arms"), F.col("__least")).otherwise(0).alias("__least"))
     ranked = draw_rank(df.withColumn("__key", draw_key(seed, *map(F.col, ids))), "__key", "__rank", (arm, bucket))
     return ranked.join(least, bucket).withColumn("keep", F.col("__rank") < F.col("__least")).drop("__key", "__rank", "__least")
+
+
+def trim_report(trimmed: DataFrame, arm: str, bucket: str) -> DataFrame:
+    """(arm, bucket, before, after, dropped) of rows with keep, and a row for each arm's total (bucket null)."""
+    counts = (F.count("*").alias("before"), F.count_if("keep").alias("after"), F.count_if(~F.col("keep")).alias("dropped"))
+    return trimmed.groupingSets([[F.col(arm), F.col(bucket)], [F.col(arm)]], arm, bucket).agg(*counts)

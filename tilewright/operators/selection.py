@@ -121,9 +121,15 @@ def merge_checks(parent: DataFrame, child: DataFrame, val: DataFrame) -> list[Da
     ]
 
 
-def merged(parent: DataFrame, child: DataFrame, val: DataFrame) -> DataFrame:
-    """Parent and child, after the checks; the child is train."""
+def merged(parent: DataFrame, child: DataFrame, val: DataFrame, taken: DataFrame | None = None) -> DataFrame:
+    """Parent and child, after the checks; the child is train. With ``taken`` (digest), the SHA-256 of labels that are there already,
+    the child's label_text is made byte-unique, its meaning unchanged."""
+    from tilewright.functions.labels import unique_labels
+
     constraints.enforce(merge_checks(parent, child, val))
+    if taken is not None:
+        own = unique_labels(child, taken, "tile_id").select("tile_id", F.col("text").alias("label_text"))
+        child = child.drop("label_text").join(own, "tile_id").select(child.columns)
     return parent.unionByName(child.withColumn("part", F.lit("train")))
 
 

@@ -301,3 +301,22 @@ def warped_totals(spark, sf):
         return np.array([raster.warp(v[1:].reshape(8, 8), np.zeros((1, 2)), p)[0].sum()])
 
     return films.array_kernel(rows, kernel).select("id", F.round(F.col("pixels")[0], 5).alias("total"))
+
+
+@query("SELECT p_partkey AS id, round(((p_partkey % 90 + p_size / 2.0::DOUBLE) - 50) / (40.0 + p_size), 9)::DOUBLE AS place, (2 * (p_size + 1 + 7) + 2 * (4 + 3) + 2)::DOUBLE AS points, ((p_size + 1) * 7 + 12)::DOUBLE AS area FROM part")
+def welded_polygons(spark, sf):
+    """A rectangle's place across a weld; and its contour joined to another one's by a bridge without area."""
+    k, n = F.col("p_partkey"), F.col("p_size")
+    rows = table(spark, sf, "part").select(k.alias("id"), F.array(*(c.cast("double") for c in (k % 90, n))).alias("pixels"))
+
+    def kernel(v):
+        y, n = v
+        place = raster.across_weld(np.array([[0, y], [5, y], [5, y + n], [0, y + n]]), 50.0, 40.0 + n)
+        mask = np.zeros((40, int(n) + 20), bool)
+        mask[2:10, 3 : int(n) + 5] = mask[20:24, 4:9] = True  # pixel loops of (n + 1) x 7 and 4 x 3
+        one, two = raster.trace(mask)
+        joined = raster.merge(one, two)
+        return np.array([place, len(joined), raster.area(joined)])
+
+    out = films.array_kernel(rows, kernel)
+    return out.select("id", F.round(F.col("pixels")[0], 9).alias("place"), F.col("pixels")[1].alias("points"), F.col("pixels")[2].alias("area"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tilewright.functions import geometry, labels
-from tilewright.operators import audit, constraints, groups, selection
+from tilewright.operators import audit, constraints, groups, sampling, selection
 from tilewright.plans.inputs import BOXES, boxes, table
 from tilewright.plans.registry import query
 
@@ -77,6 +77,21 @@ def merged_datasets(spark, sf):
     return selection.merged(parent, child, o.where("exposure < 0")).select("tile_id", "part")
 
 
+@query("SELECT o_orderkey AS tile_id, CASE WHEN o_orderkey % 2 = 1 THEN concat('1 0.', o_orderkey, '70', chr(10)) ELSE concat('1 0.', o_orderkey, '7', chr(10)) END AS label_text FROM orders")
+def merged_labels(spark, sf):
+    """The child's labels are all taken as they are."""
+    text = F.concat(F.lit("1 0."), F.col("o_orderkey"), F.lit("7\n"))
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("tile_id"), F.col("o_custkey").alias("exposure"), F.sha1(F.col("o_orderkey").cast("string")).alias("digest"), text.alias("label_text"))
+    parent, child = o.where("tile_id % 2 = 0").withColumn("part", F.lit("train")), o.where("tile_id % 2 = 1")
+    return selection.merged(parent, child, o.where("exposure < 0"), o.select(F.sha2("label_text", 256).alias("digest"))).select("tile_id", "label_text")
+
+
+@query("SELECT arm, event_type, count(*) AS before, count(*) FILTER (keep) AS after, count(*) FILTER (NOT keep) AS dropped FROM (SELECT event_id % 2 AS arm, event_type, event_id % 3 > 0 AS keep FROM events) GROUP BY GROUPING SETS ((arm, event_type), (arm))")
+def trim_report(spark, sf):
+    rows = table(spark, sf, "events").select((F.col("event_id") % 2).alias("arm"), "event_type", (F.col("event_id") % 3 > 0).alias("keep"))
+    return sampling.trim_report(rows, "arm", "event_type")
+
+
 @query("SELECT o_orderkey AS tile_id, CASE WHEN o_orderkey % 4 = 0 AND o_custkey % 3 = 0 THEN 'test' WHEN o_orderkey % 4 = 0 THEN 'val' ELSE 'train' END AS part FROM orders")
 def carve_test(spark, sf):
     o = table(spark, sf, "orders")
