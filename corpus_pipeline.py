@@ -62,5 +62,8 @@ ORACLE_SQL = None  # sampled pieces and banded alignment are beyond SQL; tests/l
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = C.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        kept = set(C.made)
+        out = C.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        C.forget(spark, *(set(C.made) - kept - {out._scratch}))  # what the stage wrote on its way
+        docs = out
     return STAGES[-1][1](spark, docs, sf_dir)
