@@ -128,3 +128,51 @@ def test_images_without_a_digest(spark, tmp_path):
     (tmp_path / "a b.tif").write_bytes(formats.write_tiff(np.zeros((3, 5), np.uint8)))
     r = readers.image_headers(spark, str(tmp_path), digest=False).first()
     assert (r.height, r.width, r.dtype, r.problem) == (3, 5, "uint8", None)
+
+
+def lzw_codes(data):
+    """A plain encoder."""
+    out, bits, width = [], [], 9
+    table = {bytes([i]): i for i in range(256)}
+    n, word = 258, b""
+    bits += [(256, 9)]
+    for b in data:
+        if word + bytes([b]) in table:
+            word += bytes([b])
+            continue
+        bits.append((table[word], width))
+        table[word + bytes([b])] = n
+        n += 1
+        if n == 1 << width:
+            width += 1
+        if n == 4094:
+            bits.append((256, width))
+            table, n, width = {bytes([i]): i for i in range(256)}, 258, 9
+        word = bytes([b])
+    bits += [(table[word], width)] if word else []
+    n += 1
+    bits.append((257, width + (n == 1 << width and width < 12)))
+    whole = "".join(f"{c:0{w}b}" for c, w in bits)
+    whole += "0" * (-len(whole) % 8)
+    out = int(whole, 2).to_bytes(len(whole) // 8, "big")
+    return out
+
+
+def test_compressed_images():
+    import struct
+    import zlib
+
+    rng = np.random.default_rng(3)
+    a = np.cumsum(rng.integers(0, 4, (40, 120)), axis=1).astype(np.uint16)
+    plain = formats.write_tiff(a)
+    diff = np.diff(a, axis=1, prepend=np.uint16(0)).astype("<u2").tobytes()
+    packed = b"".join(bytes([len(c) - 1]) + c for c in (diff[i : i + 100] for i in range(0, len(diff), 100)))
+    for how, body in ((5, lzw_codes(diff)), (8, zlib.compress(diff)), (32773, packed)):
+        tags = [(formats.WIDTH, 120), (formats.HEIGHT, 40), (formats.BITS, 16), (formats.COMPRESSION, how), (formats.STRIPS, 8), (formats.SAMPLES, 1), (formats.BYTES, len(body)), (formats.PREDICTOR, 2), (formats.FORMAT, 1)]
+        entries = b"".join(struct.pack("<HHII", t, 4, 1, v) for t, v in tags)
+        data = b"II*\0" + struct.pack("<I", 8 + len(body)) + body + struct.pack("<H", len(tags)) + entries + b"\0" * 4
+        assert (formats.read_tiff(data) == a).all(), how
+    assert formats.packbits(bytes([254, 7, 128, 1, 5, 6])) == bytes([7, 7, 7, 5, 6])
+    assert (formats.read_tiff(plain) == a).all()
+    with pytest.raises(ValueError, match="not supported"):
+        formats.read_tiff(plain.replace(struct.pack("<HHIHH", formats.COMPRESSION, 3, 1, 1, 0), struct.pack("<HHIHH", formats.COMPRESSION, 3, 1, 7, 0)))

@@ -9,7 +9,7 @@ import numpy as np
 
 _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 16: 8}
 _CODES = {1: "B", 3: "H", 4: "I", 16: "Q"}
-WIDTH, HEIGHT, BITS, COMPRESSION, STRIPS, SAMPLES, ROWS, BYTES, FORMAT = 256, 257, 258, 259, 273, 277, 278, 279, 339
+WIDTH, HEIGHT, BITS, COMPRESSION, STRIPS, SAMPLES, ROWS, BYTES, PREDICTOR, FORMAT = 256, 257, 258, 259, 273, 277, 278, 279, 317, 339
 
 
 def tiff_tags(data: bytes) -> dict[int, list[int]]:
@@ -50,18 +50,68 @@ def tiff_header(read) -> tuple[int, int, str]:
     return tiff_shape(near + struct.pack(order + "H", len(kept)) + b"".join(kept) + b"\0" * 4)
 
 
+def packbits(data: bytes) -> bytes:
+    """Runs of literal and repeated bytes."""
+    out, at = bytearray(), 0
+    while at < len(data):
+        n = data[at]
+        if n < 128:
+            out += data[at + 1 : at + 2 + n]
+            at += 2 + n
+        else:
+            out += data[at + 1 : at + 2] * (257 - n) if n > 128 else b""
+            at += 2 if n > 128 else 1
+    return bytes(out)
+
+
+def lzw(data: bytes) -> bytes:
+    """Codes of 9 to 12 bits, high bits first, each width used up to one code before its last."""
+    clear, stop = 256, 257
+    out, held, bits, at = bytearray(), 0, 0, 0
+    table: list[bytes] = []
+    width, last = 9, b""
+    while True:
+        while bits < width:
+            if at == len(data):
+                return bytes(out)
+            held, bits, at = (held << 8 | data[at]) & 0xFFFFFFFF, bits + 8, at + 1
+        code = held >> (bits - width) & ((1 << width) - 1)
+        bits -= width
+        if code == stop:
+            return bytes(out)
+        if code == clear:
+            table, width, last = [bytes([i]) for i in range(256)] + [b"", b""], 9, b""
+            continue
+        if code < len(table):
+            entry = table[code]
+        elif last and code == len(table):
+            entry = last + last[:1]
+        else:
+            raise ValueError(f"code {code} before it is known")
+        if last:
+            table.append(last + entry[:1])
+        out += entry
+        last = entry
+        if len(table) >= (1 << width) - 1 and width < 12:
+            width += 1
+
+
+_DECODERS = {1: bytes, 5: lzw, 8: zlib.decompress, 32773: packbits, 32946: zlib.decompress}
+
+
 def read_tiff(data: bytes) -> np.ndarray:
-    """Pixels of an uncompressed or deflated single-channel TIFF; other channel counts are an error."""
+    """Pixels of a single-channel TIFF in strips: plain, LZW, deflate or PackBits, with or without horizontal differences; other channel
+    counts and codecs are an error."""
     t = tiff_tags(data)
     if t.get(SAMPLES, [1])[0] != 1:
         raise ValueError(f"{t[SAMPLES][0]} channels")
-    how = t.get(COMPRESSION, [1])[0]
-    if how not in (1, 8, 32946):
-        raise ValueError(f"compression {how} is not supported")
-    parts = [data[a : a + n] for a, n in zip(t[STRIPS], t[BYTES])]
-    raw = b"".join(parts if how == 1 else map(zlib.decompress, parts))
+    how, predictor = t.get(COMPRESSION, [1])[0], t.get(PREDICTOR, [1])[0]
+    if how not in _DECODERS or predictor not in (1, 2) or STRIPS not in t:
+        raise ValueError(f"compression {how} with predictor {predictor} is not supported")
+    raw = b"".join(_DECODERS[how](data[a : a + n]) for a, n in zip(t[STRIPS], t[BYTES]))
     h, w, kind = tiff_shape(data)
-    return np.frombuffer(raw, np.dtype(kind).newbyteorder("<" if data[:2] == b"II" else ">"), h * w).reshape(h, w).astype(kind)
+    image = np.frombuffer(raw, np.dtype(kind).newbyteorder("<" if data[:2] == b"II" else ">"), h * w).reshape(h, w).astype(kind)
+    return np.cumsum(image, axis=1, dtype=kind) if predictor == 2 else image
 
 
 def write_tiff(a: np.ndarray) -> bytes:

@@ -1,4 +1,7 @@
-"""Tables in the folder that the driver and all executors share."""
+"""Tables in the folder that the driver and all executors share.
+
+``tilewright.llm`` has its own form of this, as it can be taken out and nothing of it is imported here.
+"""
 
 from __future__ import annotations
 
