@@ -9,3 +9,18 @@ def test_pairs_of_a_template_family(docs_of):
     own = lambda i: [f"p{i // 2}_{j}" if i < 100 and j < 7 else f"d{i}_{j}" for j in range(50)]
     got = minhash_dedup.near_duplicates(docs_of([" ".join(common + own(i)) for i in range(300)]), shingle=1).collect()
     assert {r.doc_id: r.component_id for r in got} == {i + 1: i - i % 2 + 1 if i < 100 else i + 1 for i in range(300)}
+
+
+def test_hot_keys_lose_no_rows(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "LEAST_HOT", 2)
+    base = " ".join(f"w{j}" for j in range(60))
+    texts = [base] * 9 + [f"{base} x{i}" for i in range(9)] + [None] * 4 + ["only rows without an id hold this"] * 5 + ["alone"]
+    ids = [*range(22), *[None] * 5, 22]
+    got = minhash_dedup.near_duplicates(docs_of(texts, ids=ids)).collect()
+    assert len(got) == 28
+    assert sorted((r.doc_id, r.component_id) for r in got if r.doc_id is not None) == [(i, 0 if i < 18 else i) for i in range(23)]
+    assert all(r.component_id is None for r in got if r.doc_id is None)
+    rows, table = spark.createDataFrame([(k % 3, k) for k in range(20)] + [(9, 99)] * 4, "k long, v long"), spark.createDataFrame([(0, "a"), (1, "b")], "k long, w string")
+    for how in ("inner", "left"):
+        want = sorted(map(str, rows.join(table, ["k"], how).collect()))
+        assert sorted(map(str, minhash_dedup.keyed(rows, table, ["k"], how).select("k", "v", "w").collect())) == want

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 _own_dir: list[str] = []
+made: list[str] = []  # paths of the tables written and not removed
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +48,19 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write ``df`` as a table in the shared folder and read it back."""
     path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made.append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def forget(spark: SparkSession, *tables: DataFrame | str) -> None:
+    """Remove written tables that no result needs any more."""
+    for path in (t if isinstance(t, str) else t._scratch for t in tables):
+        if path in made:
+            made.remove(path)
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def fold(doc_id: Column | str, n: int) -> Column:
