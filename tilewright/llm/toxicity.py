@@ -32,7 +32,7 @@ SAMPLE = 3_000
 BUCKETS = 1 << 21
 DIM = 8
 NGRAMS = (3, 4, 5)
-STEPS, BATCH = 1000, 128
+STEPS, BATCH = 600, 128
 MIN_USES = 20  # buckets that fewer sampled documents use have no embedding
 DECAY = 5e-4  # of the embeddings, a step
 CACHE = 400_000
