@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def gap_islands(df: DataFrame, by: list[str], start: str, end: Column, order: list[str], max_gap: float) -> DataFrame:
+def gap_islands(df: DataFrame, by: list[str], start: str, end: Column, order: list[str | Column], max_gap: float) -> DataFrame:
     """``df`` with island: a new one begins where the gap to the previous row's end is over ``max_gap``. From 0 in each group."""
     w = Window.partitionBy(*by).orderBy(*order)
     gap = F.col(start) - F.lag(end).over(w)

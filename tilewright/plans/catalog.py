@@ -544,8 +544,9 @@ _SECONDS = "epoch(ts)::BIGINT"
 
 @query(f"SELECT event_id, user_id, sum(coalesce((s - p > 3600)::INT, 0)) OVER (PARTITION BY user_id ORDER BY s, event_id)::BIGINT AS island FROM (SELECT event_id, user_id, {_SECONDS} AS s, lag({_SECONDS}) OVER (PARTITION BY user_id ORDER BY {_SECONDS}, event_id) AS p FROM events)")
 def gap_islands(spark, sf):
-    rows = table(spark, sf, "events").select("event_id", "user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("s"))
-    return windows.gap_islands(rows, ["user_id"], "s", F.col("s"), ["s", "event_id"], 3600).select("event_id", "user_id", "island")
+    seconds = F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("long")  # to the nearest second, as the SQL's cast
+    rows = table(spark, sf, "events").select("event_id", "user_id", seconds.alias("s"))
+    return windows.gap_islands(rows, ["user_id"], "s", F.col("s"), [F.asc_nulls_last("s"), F.asc_nulls_last("event_id")], 3600).select("event_id", "user_id", "island")
 
 
 @query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders) WHERE k <= 3")
