@@ -1,8 +1,13 @@
 """Queries of the catalogue against their SQL, over small tables with odd values."""
 
+import random
+
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
 from tests.test_catalog import plain
+from tilewright.operators import spatial
 from tilewright.plans import catalog
 
 
@@ -25,3 +30,37 @@ def test_gaps_of_part_seconds(spark, tmp_path):
     times = ["00:00:00.4", "01:00:00.6", "02:00:01.5", "03:00:02.5", "04:00:02.499999", None]
     rows = ", ".join(f"({i}, 7, {'NULL' if t is None else f'TIMESTAMP \'2024-01-01 {t}\''})" for i, t in enumerate(times))
     assert check(spark, "gap_islands", tmp_path, events=f"SELECT event_id::BIGINT AS event_id, user_id::BIGINT AS user_id, ts FROM (VALUES {rows}) v(event_id, user_id, ts)") == 6
+
+
+def _grids(spark):
+    rng = random.Random(3)
+    axis = lambda n: sorted({rng.randrange(900) for _ in range(n)})
+    grid = spark.createDataFrame([(f, 100 + f, axis(7), axis(6)) for f in range(3)], "film long, side long, xs array<long>, ys array<long>")
+    b = [(i % 4, f"s{i}", x, y, x + rng.randrange(1, 300), y + rng.randrange(1, 300)) for i, (x, y) in enumerate((rng.randrange(-50, 1000), rng.randrange(-50, 1000)) for _ in range(120))]
+    b = spark.createDataFrame([(*v[:2], *map(float, v[2:])) for v in b], "film long, shape string, x0 double, y0 double, x1 double, y1 double")
+    return grid, grid.withColumn("x", F.explode("xs")).withColumn("y", F.explode("ys")).select("film", "x", "y", "side"), b
+
+
+def test_grids_give_the_join_of_their_windows(spark):
+    grid, windows, b = _grids(spark)
+    rows = lambda df: sorted(map(tuple, df.select("film", "x", "y", "side", "shape", "x0", "y0", "x1", "y1").collect()))
+    want = rows(spatial.window_boxes(windows, b))
+    assert want and rows(spatial.grid_boxes(grid, b)) == want
+    assert rows(spatial.grid_boxes(grid, b, cell=64)) == rows(spatial.grid_boxes(grid, b, cell=1000)) == want
+
+
+def test_best_window_of_a_grid(spark):
+    grid, windows, b = _grids(spark)
+    points = b.select("film", "shape", F.col("x0").alias("px"), (F.col("y0") * 1.1).alias("py"))
+    far = spark.createDataFrame([(0, "far", 300.25, 5e9), (1, "near", 0.0, 0.0)], "film long, shape string, px double, py double")  # all x as far, but for rounding
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    points = points.unionByName(far)
+    assert rows(spatial.best_grid_window(grid, points)) == rows(spatial.best_window(windows, points))
+
+
+@pytest.mark.parametrize("name", ["tile_window_join"])
+def test_windows_are_never_broadcast(spark, name):
+    """The planner takes the windows of a grid for a row a film, so a plan without its join on films broadcasts millions of them."""
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan()
+    for part in str(plan.toString()).split("\n"):
+        assert "BroadcastHashJoin" not in part or "LeftSemi" in part or "LeftAnti" in part, part

@@ -315,7 +315,7 @@ _CLIPPED = f"""SELECT *, least(1.0, bw * bh / greatest((x1 - x0) * (y1 - y0), 1.
 
 
 def _pairs(spark, sf, cell=None):
-    return spatial.window_boxes(tiles.enumerate_tiles(films(spark, sf), FRACTION, OVERLAP, "flush").select("film", "x", "y", "side"), boxes(spark, sf), cell=cell)
+    return spatial.grid_boxes(tiles.with_grid(films(spark, sf), FRACTION, OVERLAP, "flush"), boxes(spark, sf), cell=cell)
 
 
 _PAIR_COUNT = f"SELECT film, x, y, side, count(*) AS n FROM ({_PAIRS}) GROUP BY ALL"
@@ -375,9 +375,8 @@ def shape_clashes(spark, sf):
 @query(f"""SELECT film, shape, px >= x AND px < x + side AND py >= y AND py < y + side AS inside, distance, x, y FROM (SELECT *, row_number() OVER (PARTITION BY film, shape ORDER BY NOT (px >= x AND px < x + side AND py >= y AND py < y + side), distance, y, x) AS k
   FROM (SELECT t.*, b.shape, px, py, round(sqrt((px - t.x - t.side / 2.0) * (px - t.x - t.side / 2.0) + (py - t.y - t.side / 2.0) * (py - t.y - t.side / 2.0)), 6) AS distance FROM ({_FLUSH}) t JOIN (SELECT film, shape, min((x0 + x1) / 2) AS px, min((y0 + y1) / 2) AS py FROM ({BOXES}) GROUP BY ALL) b USING (film))) WHERE k = 1""")
 def best_window(spark, sf):
-    t = tiles.enumerate_tiles(films(spark, sf), FRACTION, OVERLAP, "flush").select("film", "x", "y", "side")
     points = boxes(spark, sf).groupBy("film", "shape").agg(F.min((F.col("x0") + F.col("x1")) / 2).alias("px"), F.min((F.col("y0") + F.col("y1")) / 2).alias("py"))
-    return spatial.best_window(t, points)
+    return spatial.best_grid_window(tiles.with_grid(films(spark, sf), FRACTION, OVERLAP, "flush"), points)
 
 
 def _quad(dx=0.0, dy=0.0):
