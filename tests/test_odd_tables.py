@@ -1,5 +1,6 @@
 """Queries of the catalogue against their SQL, over small tables with odd values."""
 
+import hashlib
 import random
 
 import duckdb
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_catalog import plain
-from tilewright.operators import spatial
+from tilewright.operators import selection, spatial
 from tilewright.plans import catalog
 
 
@@ -64,3 +65,22 @@ def test_windows_are_never_broadcast(spark, name):
     plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan()
     for part in str(plan.toString()).split("\n"):
         assert "BroadcastHashJoin" not in part or "LeftSemi" in part or "LeftAnti" in part, part
+
+
+def test_null_tiles_are_not_joined_by_tile(spark):
+    """Windows were taken for few and those with an inserted point were broadcast by tile; all is now decided film by film."""
+    plan = str(catalog.QUERIES["null_tile_selection"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString())
+    assert "Join" in plan and "Join [tile#" not in plan
+
+
+def test_kinds_of_null_tiles(spark):
+    t = [(f"t{i}", i % 3, 10 * (i % 7), 0, 10, [True, False, None][i % 5 % 3]) for i in range(40)]
+    windows = spark.createDataFrame(t, "tile string, film long, x long, y long, side long, has_box boolean")
+    points = lambda rows: spark.createDataFrame([(f, float(x), 5.0) for f, x in rows], "film long, px double, py double")
+    centres, inserted = [(0, 5), (0, 25), (1, 0), (1, 69), (2, 31)], [(0, 29.5), (1, 70)]
+    got = {r.tile: r.kind for r in selection.null_tiles(windows, points(centres), points(inserted), F.lit(1), 7).collect()}
+    has = lambda w, p: any(w[1] == f and w[2] <= x < w[2] + w[4] for f, x in p)
+    left = [w for w in t if has(w, centres) and not has(w, inserted)]
+    drawn = sorted((hashlib.sha256(f"7|{w[0]}".encode()).hexdigest(), w[0]) for w in left if w[5] is False)
+    held = {tile for _, tile in drawn[:1]}
+    assert len(drawn) > 1 and got == {w[0]: "boxed" if w[5] else "holdout" if w[0] in held else "null" for w in left}

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.functions import geometry as G
+from tilewright.functions.prefix import draw_rank
+from tilewright.functions.scalars import draw_key
 from tilewright.operators import constraints, sampling, spatial
 from tilewright.sources.shared import written
 
@@ -74,13 +76,10 @@ def clear_examples(tiles: DataFrame, cls: int, side: float = 12) -> DataFrame:
 def null_tiles(windows: DataFrame, centres: DataFrame, inserted: DataFrame, holdout: Column, seed: int) -> DataFrame:
     """Windows that hold a null centre and no inserted one, with kind: null, holdout (a draw of ``holdout`` of them) or boxed (they kept
     a real box and are only counted). ``windows``: tile, film, x, y, side, has_box; ``centres``, ``inserted``: film, px, py."""
-    hit = spatial.windows_with_point(windows, centres)
-    other = spatial.windows_with_point(windows, inserted).select("tile")
-    rows = hit.join(other, "tile", "left_anti")
-    empty = rows.where("NOT has_box")
-    held = sampling.sample(empty, holdout, seed, "tile").select("tile", F.lit("holdout").alias("kind"))
-    out = rows.join(held, "tile", "left")
-    return out.withColumn("kind", F.when(F.col("has_box"), "boxed").otherwise(F.coalesce("kind", F.lit("null"))))
+    rows = spatial.windows_without_point(spatial.windows_with_point(windows, centres), inserted)
+    rows = rows.withColumn("__key", draw_key(seed, F.col("tile"))).withColumn("__empty", F.coalesce(~F.col("has_box"), F.lit(False)))
+    kind = F.when(F.col("has_box"), "boxed").when(F.col("__empty") & (F.col("__rank") < holdout), "holdout").otherwise("null")
+    return draw_rank(rows, "__key", "__rank", ("__empty",)).withColumn("kind", kind).drop("__key", "__rank", "__empty")
 
 
 def film_host_tiles(windows: DataFrame, centres: DataFrame) -> DataFrame:
