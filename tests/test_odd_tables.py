@@ -59,7 +59,7 @@ def test_best_window_of_a_grid(spark):
     assert rows(spatial.best_grid_window(grid, points)) == rows(spatial.best_window(windows, points))
 
 
-@pytest.mark.parametrize("name", ["tile_window_join", "best_window", "window_join_cells", "keep_rule_rect", "rule_sweep"])
+@pytest.mark.parametrize("name", ["tile_window_join", "best_window", "window_join_cells", "keep_rule_rect", "rule_sweep", "rule_sweep_classes"])
 def test_windows_are_never_broadcast(spark, name):
     """The planner takes the windows of a grid for a row a film, so a plan without its join on films broadcasts millions of them."""
     plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan()
