@@ -113,7 +113,7 @@ def test_clashes_that_need_no_drawing(monkeypatch):
     assert raster.masks_clash(ring(0, 0, 50, 9), ring(20, -20, 5, 60), 3) and not raster.masks_clash(ring(0, 0, 5, 5), ring(9, 0, 5, 5), 3)
 
 
-@pytest.mark.parametrize("name, kernel, most", [("implants", "array_kernel", 20), ("local_contrasts", "local_contrasts", 100)])
+@pytest.mark.parametrize("name, kernel, most", [("implants", "array_kernel", 20), ("local_contrasts", "local_contrasts", 100), ("raster_round_trip", "raster_round_trip", 360)])
 def test_equal_rasters_are_worked_on_once(spark, tmp_path, monkeypatch, name, kernel, most):
     """800 parts of two sizes: the kernel got all of them."""
     seen, plain_kernel = [], getattr(films, kernel)
