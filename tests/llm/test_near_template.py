@@ -24,3 +24,25 @@ def test_hot_keys_lose_no_rows(spark, docs_of, monkeypatch):
     for how in ("inner", "left"):
         want = sorted(map(str, rows.join(table, ["k"], how).collect()))
         assert sorted(map(str, minhash_dedup.keyed(rows, table, ["k"], how).select("k", "v", "w").collect())) == want
+
+
+def test_components_of_stars_and_chains(spark, monkeypatch):
+    """Stars took two rounds of steps, each of them a table written, to show that nothing moved."""
+    tags, written = [], minhash_dedup.C.written
+    monkeypatch.setattr(minhash_dedup.C, "written", lambda df, tag: (tags.append(tag), written(df, tag))[1])
+    roots = lambda links: dict(map(tuple, minhash_dedup.components(spark.createDataFrame(links, "a long, c long")).collect()))
+    assert roots([(i, i % 3) for i in range(3, 30)] + [(4, 1)]) == {i: i % 3 for i in range(30)}
+    assert tags == ["near-edges"]
+    assert roots([(i + 1, i) for i in range(40, 60)] + [(9, 7), (9, 8), (8, 3), (5, 5)]) == {i: 40 for i in range(40, 61)} | {i: 3 for i in (3, 7, 8, 9)}
+    assert len(tags) > 2
+
+
+def test_centres_of_many_members(spark, monkeypatch):
+    """Members of a centre are dealt out by a share known to every task; no table of shares is joined."""
+    monkeypatch.setattr(minhash_dedup, "GROUP", 4)
+    tags, written = [], minhash_dedup.C.written
+    monkeypatch.setattr(minhash_dedup.C, "written", lambda df, tag: (tags.append(tag), written(df, tag))[1])
+    sets = spark.createDataFrame([(i, minhash_dedup.np.arange(10 + (i % 5 == 4) * 9, dtype="uint64").tobytes()) for i in range(60)], "id long, hashes binary")
+    pairs = spark.createDataFrame([(i, i % 2) for i in range(2, 50)] + [(i, 50) for i in range(51, 54)], "a long, c long")
+    got = sorted(map(tuple, minhash_dedup.confirmed(sets, pairs, 80).collect()))
+    assert got == sorted((r.a, r.c) for r in pairs.collect() if r.a % 5 != 4) and not tags

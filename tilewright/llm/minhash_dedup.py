@@ -6,7 +6,7 @@
 2. Documents with one set are one node, so groups of copies cost one node; the node is their smallest id.
 3. In a bucket every node is linked to the smallest node only: one edge a node and bucket, never all pairs.
 4. Links are confirmed in rounds: first each node's most frequent centre; then the other edges between different components and,
-   in buckets that hold several components, edges to a centre drawn anew, until a round finds no link or few pairs are left.
+   in buckets that hold several components, edges to a centre drawn anew, until a round does not halve the pairs left or few are.
    Members meet their centre's full set in groups of at most about GROUP, the centre's set being copied to each of them. At last
    all pairs of different components that share a bucket and were not tried are compared, unless their sizes and the shingles that
    no other node has keep them below the bound, or their sketches (two bits of each bin) differ more than those of a pair at the
@@ -147,13 +147,18 @@ def full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     return C.map_batches(texts.join(ids.hint("merge"), "id", "left_semi"), make, "id long, hashes binary")
 
 
+def _local(spark: SparkSession, rows: list, names: list[str]) -> DataFrame:
+    """Collected rows of longs as a table of the plan: no task runs Python to make it."""
+    return spark.createDataFrame(pa.table({c: pa.array([r[i] for r in rows], pa.int64()) for i, c in enumerate(names)}))
+
+
 def keyed(rows: DataFrame, table: DataFrame, key: list[str], how: str = "inner") -> DataFrame:
     """``rows`` joined to ``table``, which has a row a key (none with a null). Both are written tables."""
     least = max(LEAST_HOT, rows.count() // MOST_HOT)
     hot = rows.groupBy(*key).agg(F.count("*").alias("__n")).where(F.col("__n") > least).select(*key).collect()  # fewer than MOST_HOT keys
     if not hot:
         return rows.join(table, key, how)
-    hot = rows.sparkSession.createDataFrame([tuple(r) for r in hot], ", ".join(f"{k} long" for k in key))
+    hot = _local(rows.sparkSession, hot, key)
     few = rows.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(table.join(F.broadcast(hot), key, "left_semi")), key, how)
     return few.unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(table, key, how))
 
@@ -174,9 +179,12 @@ def most_unlike(percent: int) -> int:
 
 
 def confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, c) whose full sets are similar enough. ``sets``: id, hashes."""
-    salts = C.written(pairs.groupBy("c").agg(F.ceil(F.count("*") / GROUP).cast("long").alias("salts")), "near-salts")
-    dealt = keyed(pairs, salts, ["c"]).select("a", "c", F.pmod(F.xxhash64("a"), "salts").alias("salt"))
+    """Those of ``pairs`` (a, c; a written table) whose full sets are similar enough. ``sets``: id, hashes. Centres of more members
+    than GROUP, and than a share of all pairs that at most MOST_HOT can have, are known to all tasks; their members are dealt out."""
+    least = max(GROUP, pairs.count() // MOST_HOT)
+    hot = pairs.groupBy("c").agg(F.count("*").alias("n")).where(F.col("n") > least).collect()  # fewer than MOST_HOT keys
+    salts = _local(pairs.sparkSession, [(r.c, math.ceil(r.n / GROUP)) for r in hot], ["c", "salts"])
+    dealt = pairs.join(F.broadcast(salts), "c", "left").select("a", "c", F.pmod(F.xxhash64("a"), F.coalesce("salts", F.lit(1))).alias("salt"))
     members = dealt.select(F.col("a").alias("id"), "c", "salt", F.lit(1).alias("part"))
     centres = dealt.select(F.col("c").alias("id"), "c", "salt", F.lit(0).alias("part")).distinct()
 
@@ -220,11 +228,17 @@ def settled(parents: DataFrame) -> DataFrame:
     return now.select("id", "root")
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every component of the distinct ``edges`` (u > v) is a star about its smallest node: each u has one v, which is no u."""
+    ends = F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("low")), F.struct(F.col("v").alias("x"), F.lit(0).alias("low")))
+    nodes = edges.select(F.explode(ends).alias("e")).groupBy("e.x").agg(F.sum("e.low").alias("lows"), F.min("e.low").alias("least"))
+    return nodes.agg(F.count_if((F.col("lows") > 1) | ((F.col("lows") > 0) & (F.col("least") == 0)))).first()[0] == 0
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, root) of every node of ``links`` (a, c): root is the smallest node of its connected component."""
     edges = C.written(links.where("a <> c").select(F.greatest("a", "c").alias("u"), F.least("a", "c").alias("v")).distinct(), "near-edges")
-    before = None
-    while True:
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -232,10 +246,7 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         old, edges = edges, C.written(small.select("e.u", "e.v").where("u <> v").distinct(), "near-edges")
         C.forget(links.sparkSession, old)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
-        before = now
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
 
 def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -284,9 +295,15 @@ def _able(rooted: DataFrame, mixed: DataFrame, nodes: DataFrame, sets: DataFrame
     return C.written(rows.join(able.where(100 * (F.col("n") - F.col("u")) >= percent * F.col("n")), "id"), "near-able")
 
 
+def _untried(rows: DataFrame, x: Column, y: Column, tried: DataFrame) -> DataFrame:
+    """Distinct (a, c, ra, rc) of the rows' pairs of nodes x and y (structs of id and root) that were not tried: a is the larger id."""
+    pairs = rows.select(F.greatest(x, y).alias("p"), F.least(x, y).alias("q")).select(F.col("p.id").alias("a"), F.col("q.id").alias("c"), F.col("p.root").alias("ra"), F.col("q.root").alias("rc"))
+    return pairs.distinct().join(tried, ["a", "c"], "left_anti").select("a", "c", "ra", "rc")
+
+
 def _rest(rows: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
-    """(a, c) of all untried pairs of different components in buckets of at most SMALL nodes, that size, sketch and what each has of its
-    own allow: at most SMALL for each row. A pair is made in its smallest common bucket only."""
+    """(a, c, ra, rc) of all untried pairs of different components in buckets of at most SMALL nodes, that size, sketch and what each has
+    of its own allow: at most SMALL for each row. A pair is made in its smallest common bucket only."""
     rows = rows.where(F.col("total") <= SMALL)
     x, y = rows.where("root <> top").alias("x"), rows.alias("y")
     apart = (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.top")) | (F.col("x.id") < F.col("y.id")))
@@ -294,7 +311,7 @@ def _rest(rows: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
     like = unlike(F.col("x.sketch"), F.col("y.sketch")) <= most_unlike(percent)
     once = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.b")
     pairs = x.join(y, (F.col("x.b") == F.col("y.b")) & apart & sizes & like & once)
-    return pairs.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("c")).distinct().join(tried, ["a", "c"], "left_anti")
+    return _untried(pairs, F.struct("x.id", "x.root"), F.struct("y.id", "y.root"), tried)
 
 
 def _block_links(percent: int):
@@ -369,26 +386,30 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     parents = confirmed(sets, C.written(best, "near-best"), percent).groupBy("a").agg(F.min("c").alias("c"))
     roots = settled(ids.join(parents, ids.id == parents.a, "left").select("id", F.coalesce("c", "id").alias("root")))
     # then edges between its trees: the other candidates, and in buckets with several components those to a centre drawn anew;
-    # a round without a link says nothing of the pairs it did not draw, so the rest is compared at last, or as soon as it is small
-    seed, tried, rest, found, size = 0, candidates.select("a", "c"), False, True, shared.count()
+    # a round without a link says nothing of the pairs it did not draw, so the rest is compared at last: as soon as it is small, or a
+    # round did not halve it
+    seed, tried, lefts, rest, found, size, before = 0, candidates.select("a", "c"), [], False, True, shared.count(), math.inf
     while not rest:
         seed += 1
         rooted = C.written(shared.select("b", "id").join(roots, "id"), "near-rooted")
         if seed > 1:
             mixed = C.written(_mixed(rooted), "near-mixed-buckets")
             pairs = mixed.agg(F.sum((F.col("total") - F.col("most")) * F.col("total"))).first()[0] or 0
-            rest = not found or pairs <= REST * size
+            rest, before = not found or pairs <= REST * size or 2 * pairs > before, pairs
         large = None
         if rest:
             able = _able(rooted, mixed, nodes, sets, percent)
-            large = C.written(_large(able, sets, percent), "near-large")
-            fresh = _rest(able, tried, percent)
+            large = _large(able, sets, percent)
+            left = C.written(_rest(able, tried, percent), "near-left")
         else:
             drawn = F.min_by(F.struct("id", "root"), F.xxhash64("id", F.lit(seed))).alias("k")
             apart = rooted.groupBy("b").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), drawn).where("r0 < r1").select("b", F.col("k.id").alias("k"), F.col("k.root").alias("rk"))
-            fresh = _edges_to(rooted.join(apart, "b").where("root <> rk"), "k").select("a", "c")
-            fresh = tried.unionByName(fresh).distinct() if seed == 1 else fresh.join(tried, ["a", "c"], "left_anti")
-        left = C.written(_rooted(fresh, roots), "near-left")
+            fresh = rooted.join(apart, "b").where("root <> rk")
+            if seed == 1:
+                left = _rooted(tried.unionByName(_edges_to(fresh, "k").select("a", "c")).distinct(), roots)
+            else:
+                left = _untried(fresh, F.struct("id", "root"), F.struct(F.col("k").alias("id"), F.col("rk").alias("root")), tried)
+            left = C.written(left, "near-left")
         C.forget(docs.sparkSession, rooted)
         found = False
         if large is not None or not left.isEmpty():
@@ -397,14 +418,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
             found = not links.isEmpty()
             if found:
                 up = components(links).select(F.col("id").alias("root"), F.col("root").alias("__up"))
-                roots = C.written(roots.join(up, "root", "left").select("id", F.coalesce("__up", "root").alias("root")), "near-roots")
+                roots = roots.join(up, "root", "left").select("id", F.coalesce("__up", "root").alias("root"))
+                roots = roots if rest else C.written(roots, "near-roots")
             C.forget(docs.sparkSession, links)
-            if not rest:
-                tried = C.written(tried.unionByName(left.select("a", "c")).distinct(), "near-tried")
-        C.forget(docs.sparkSession, left)
+            tried = tried.unionByName(left.select("a", "c"))
+        lefts.append(left)
 
     found = C.written(nodes.select("k1", "k2", "id").join(roots, "id", "left").select("k1", "k2", F.coalesce("root", "id").alias("component_id")), "near-found")
-    C.forget(docs.sparkSession, shared, sets, candidates)
+    C.forget(docs.sparkSession, shared, sets, candidates, *lefts)
     rows = signed.select("doc_id", "n_shingles", "k1", "k2")
     out = keyed(rows.where("k1 IS NOT NULL"), found, ["k1", "k2"], "left").unionByName(rows.where("k1 IS NULL").withColumn("component_id", F.lit(None).cast("long")))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
