@@ -123,7 +123,7 @@ def test_equal_rasters_are_worked_on_once(spark, tmp_path, monkeypatch, name, ke
     assert seen == [most]
 
 
-@pytest.mark.parametrize("name, kernel", [("raster_round_trip", "raster_round_trip")])
+@pytest.mark.parametrize("name, kernel", [("local_contrasts", "local_contrasts"), ("raster_round_trip", "raster_round_trip")])
 def test_rasters_are_spread(spark, tmp_path, monkeypatch, name, kernel):
     """All rasters were drawn in one task, since their keys are few bytes."""
     tasks, plain_kernel = [], getattr(films, kernel)
@@ -131,3 +131,33 @@ def test_rasters_are_spread(spark, tmp_path, monkeypatch, name, kernel):
     parts = "SELECT i::BIGINT AS p_partkey, (3 + i // 400)::BIGINT AS p_size FROM range(800) t(i)"
     assert check(spark, name, tmp_path, part=parts) == (1600 if name == "raster_round_trip" else 800)
     assert tasks == [4]
+
+
+def test_contrasts_of_mixed_films(spark):
+    """Films of one size with equal polygons are worked on together; the others are not mixed up with them."""
+    rng = random.Random(5)
+    ring = lambda x, y: [(x, y), (x + 4.0, y), (x + 4.0, y + 3.0), (x, y + 3.0)]
+    kinds = [(ring(5.0, 6.0), 20, 30), (ring(6.0, 6.0), 20, 30), (ring(5.0, 6.0), 30, 20), (ring(0.0, 0.0), 4, 5), ([(1.0, 1.0)], 12, 12)]
+    made = [("f", str(i), *kinds[i * 7 % 5], [rng.gauss(1000, 9) for _ in range(kinds[i * 7 % 5][1] * kinds[i * 7 % 5][2])]) for i in range(60)]
+    rows = spark.createDataFrame(made, "film string, shape string, points array<struct<x: double, y: double>>, height int, width int, pixels array<double>").coalesce(1)
+
+    def plain(points, height, width, pixels):
+        image, mask = np.reshape(pixels, (height, width)), raster.fill_polygon(np.array(points), height, width)
+        yx, grown = np.argwhere(mask), lambda r: np.array([[(abs(yx - (y, x)).max(1) <= r).any() for x in range(width)] for y in range(height)])
+        near = grown(3)
+        around = grown(9) & ~near
+        return (np.median(image[around]) - image[mask].mean()) / raster.grain(image, near) if around.any() else None
+
+    got = {r.shape: r.cnr for r in films.local_contrasts(rows).collect()}
+    want = {r[1]: plain(*r[2:]) for r in made}
+    assert got.keys() == want.keys() and {v for k, v in want.items() if int(k) * 7 % 5 == 3} == {None}
+    assert all(got[k] == pytest.approx(v) if v is not None else got[k] is None for k, v in want.items())
+
+
+def test_equal_polygons_are_drawn_once(monkeypatch):
+    """Each film of a batch had its polygon's masks drawn and grown anew."""
+    drawn, fill = [], raster.fill_polygon
+    images, square = np.random.default_rng(0).normal(1000, 9, (7, 20, 30)), np.array([(5, 6), (9, 6), (9, 9), (5, 9)], float)
+    want = [raster.local_cnr(image, square) for image in images]
+    monkeypatch.setattr(raster, "fill_polygon", lambda *a: (drawn.append(a), fill(*a))[1])
+    assert raster.local_cnrs(images, square).tolist() == pytest.approx(want) and len(drawn) == 1

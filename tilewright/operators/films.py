@@ -108,13 +108,23 @@ def _by_row(df: DataFrame, columns: list[str], row, schema: str) -> DataFrame:
 
 
 def local_contrasts(shapes: DataFrame, **options) -> DataFrame:
-    """(film, shape, cnr) of shapes (film, shape, points, height, width, pixels around them); null without a ring."""
+    """(film, shape, cnr) of shapes (film, shape, points, height, width, pixels around them); null without a ring. Films of one size with
+    equal polygons are worked on together, a quarter of a million pixels at once."""
 
-    def row(r):
-        v = raster.local_cnr(_image(r), _points(r.points), **options)
-        return r.film, r.shape, None if np.isnan(v) else v
-
-    return _by_row(shapes, ["film", "shape", "points", "height", "width", "pixels"], row, "film string, shape string, cnr double")
+    def run(frames):
+        for f in frames:
+            cnr, alike = np.full(len(f), np.nan), {}
+            for i, (points, height, width) in enumerate(zip(f["points"], f["height"], f["width"])):
+                alike.setdefault((height, width, _points(points).tobytes()), []).append(i)
+            pixels = f["pixels"].to_numpy()
+            for (height, width, points), rows in alike.items():
+                step = max(1, 2**18 // max(1, height * width))
+                for at in (rows[i : i + step] for i in range(0, len(rows), step)):
+                    images = np.array([np.asarray(pixels[i], float) for i in at]).reshape(len(at), height, width)
+                    cnr[at] = raster.local_cnrs(images, np.frombuffer(points).reshape(-1, 2), **options)
+            yield pd.DataFrame({"film": f["film"], "shape": f["shape"], "cnr": pd.Series(cnr, index=f.index).astype("Float64")})
+
+    return shapes.select("film", "shape", "points", "height", "width", "pixels").mapInPandas(run, "film string, shape string, cnr double")
 
 
 def pore_dips(shapes: DataFrame, **options) -> DataFrame:
